@@ -55,7 +55,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def chunk_count(docs: DataFrame, chunk_bytes: int = 1 << 21) -> int:
     """Groups to deal ``docs`` into so that each holds about ``chunk_bytes`` of stored input; grows with the input."""
     parts = shuffle_partitions(docs.sparkSession)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return max(4 * parts, -(-size // chunk_bytes)) if size < 1 << 50 else 4 * parts
 
 

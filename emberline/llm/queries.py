@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import media, mixing, quality, wordpiece
+from emberline.llm import media, mixing, neardup, quality, substring, wordpiece
 from emberline.llm.common import read
 
 
@@ -15,6 +15,11 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = media.media_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
     feature = F.format_string("%dx%d/%d a:%s d:%s", "width", "height", "n_pictures", "average_hash", "difference_hash")
@@ -25,6 +30,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document: its class and how many words it has."""
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,13 +49,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_mixed_sources": op5_mixed_sources,
     "op6_quality_cascade": op6_quality_cascade,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM texts),
+wins AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i:i + 19], ' ') END AS win FROM places),
+ranked AS (SELECT doc_id, i, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS later FROM wins),
+cover AS (SELECT doc_id, i, word, max(CAST(later AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM ranked),
+kept AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS text FROM cover GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
     "op5_mixed_sources": r"""
 WITH base AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
