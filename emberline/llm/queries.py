@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import media, mixing, neardup, quality, substring, wordpiece
+from emberline.llm import langid, media, mixing, neardup, quality, substring, toxicity, urls, wordpiece
 from emberline.llm.common import read
 
 
@@ -30,6 +30,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learned(langid.training_rows(docs))
+    found = langid.labelled(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: its class and how many words it has."""
     return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,6 +51,22 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(docs).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    found = toxicity.scored(docs, toxicity.trained(docs, labels))
+    evidence = F.transform("evidence", lambda x: x["id"]).alias("evidence_ids")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), evidence)
+
+
+#: Production rules: host, a slash, the beginning of a path.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), wordpiece.read_pieces(vocabulary()))
 
@@ -51,9 +74,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_language_id": op3_language_id,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_mixed_sources": op5_mixed_sources,
     "op6_quality_cascade": op6_quality_cascade,
+    "op7_toxicity": op7_toxicity,
+    "op8_url_filters": op8_url_filters,
     "op9_token_counts": op9_token_counts,
 }
 
