@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import langid, media, mixing, neardup, quality, substring, toxicity, urls, wordpiece
+from emberline.llm import bpe, langid, media, mixing, neardup, quality, substring, toxicity, urls, wordpiece
 from emberline.llm.common import read
 
 
@@ -71,6 +73,25 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), wordpiece.read_pieces(vocabulary()))
 
 
+def byte_ranks(spark: SparkSession) -> bpe.Ranks:
+    import public_tokenizers
+
+    with open(vocabulary(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return bpe.Ranks(spark, ranks, public_tokenizers.PATTERN)
+
+
+def digests(rows: DataFrame, ranks: bpe.Ranks) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids)."""
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(ranks.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_ranks(spark)
+    return digests(bpe.encoded(read(spark, sf_dir, "documents"), ranks), ranks)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
@@ -81,6 +102,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_url_filters": op8_url_filters,
     "op9_token_counts": op9_token_counts,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
