@@ -236,23 +236,37 @@ class Engine:
         self.state = "running"
         try:
             strata = analyzer.strata(self.rules)
-            if self._fed and not (len(strata) == 1 and strata[0].kind in "ABC" and strata[0].kind != "A"):
-                strata = [analyzer.Stratum("D", tuple(analyzer.scheduled(self.rules)), why="facts are added to a store that has been through propagations")]
             if any(s.kind == "D" for s in strata):
                 self._sequential()
+            elif self._fed and len(strata) > 1:
+                self._remembered()
+                self._sequential()
             else:
-                self._sets(strata)
+                self._sets(strata, dict(self.store.fresh) if self._fed else None)
+            self.store.settle()
             self._fed = {f: True for f in self.store.frames}
             self.state = "ready"
         except Exception:
             self.state = "error"
             raise
 
-    def _sets(self, strata: list[analyzer.Stratum]) -> None:
+    def _remembered(self) -> None:
+        """The history of earlier set-at-a-time runs, for the machine; it is kept with ``trace`` only."""
+        if not self.trace_firings:
+            raise ExecutionError(f"Facts are added to a store that has been through several strata; create the engine with trace=True, so that its history is known:\n{self.explain()}")
+        for r in self.history_snapshot().collect():
+            self._machine_history.setdefault(r["rule"], set()).add(tuple(r["ids"]))
+
+    def _sets(self, strata: list[analyzer.Stratum], fresh: dict | None = None) -> None:
         functions = {**BUILTINS, **{k: f.typed() for k, f in self.functions.items()}}
         run = Evaluation(self.store, functions, self.limit, self.distinct, self.trace_firings)
         for s in strata:
-            run.run(s)
+            if fresh is None or s.kind == "C":
+                run.run(s)
+            elif s.kind == "A":
+                run.semi_naive(list(s.rules), fresh)
+            else:
+                run.fresh_pipeline(s, fresh)
         for name, kind, priority, n in run.counts:
             self._heard(Fired(name, kind, priority, count=n, at=time.time()))
         self.effects += run.effects

@@ -90,16 +90,20 @@ class Evaluation:
         for hook in self.store.on_add:
             hook(functor, new)
 
-    def semi_naive(self, rules: list[ast.Rule]) -> None:
-        """Rounds over what is new: a match is found in the round of its last fact, at the first head that holds a new one.
+    def semi_naive(self, rules: list[ast.Rule], fresh: dict | None = None) -> None:
+        """Rounds over what is new (``fresh`` where the rest of the store has been through the rules): a match is found in
+        the round of its last fact, at the first head that holds a new one.
 
         With ``distinct`` a fact that exists already is not added again, so cyclic data come to an end.
         """
         everything, new = dict(self.store.frames), dict(self.store.frames)
         before: dict = {}
+        if fresh is not None:
+            before, new = dict(self.store.settled), dict(fresh)
         if self.distinct:
-            for f in {x for r in rules for x in r.emits} & set(everything):
-                everything[f] = new[f] = checkpointed(idioms.keep_first(everything[f]))
+            for f in {x for r in rules for x in r.emits} & set(new):
+                if f not in before:
+                    everything[f] = new[f] = checkpointed(idioms.keep_first(everything[f]))
         while new:
             found = defaultdict(list)
             for rule in rules:
@@ -143,6 +147,17 @@ class Evaluation:
 
     # B
 
+    def fresh_pipeline(self, stratum: Stratum, fresh: dict) -> None:
+        """Fresh facts only meet the rules; what stayed before stays."""
+        heads = {r.heads[0].functor for r in stratum.rules}
+        stayed = {f: df for f, df in self.store.settled.items() if f in heads}
+        for f in heads:
+            self.store.put(f, fresh.get(f))
+        self.pipeline(stratum)
+        for f, df in stayed.items():
+            now = self.store.frame(f)
+            self.store.put(f, df if now is None else together([df, now]))
+
     def pipeline(self, stratum: Stratum) -> None:
         by_functor = defaultdict(list)
         for r in stratum.rules:

@@ -55,6 +55,9 @@ class FactStore:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.frames, self.next_id, self.invalid = spark, {}, 1, False
+        #: Facts that have not been through the rules, and the frames as the last fixpoint left them.
+        self.fresh: dict[Functor, DataFrame] = {}
+        self.settled: dict[Functor, DataFrame] = {}
         self.on_add: list[Callable[[Functor, DataFrame], None]] = []
         self.on_remove: list[Callable[[Functor, DataFrame], None]] = []
 
@@ -81,9 +84,16 @@ class FactStore:
         functor = (name, len(columns))
         old = self.frames.get(functor)
         self.frames[functor] = new if old is None else together([old, new])
+        self._note(functor, new)
+        return functor
+
+    def _note(self, functor: Functor, new: DataFrame) -> None:
+        self.fresh[functor] = together([self.fresh[functor], new]) if functor in self.fresh else new
         for hook in self.on_add:
             hook(functor, new)
-        return functor
+
+    def settle(self) -> None:
+        self.fresh, self.settled = {}, dict(self.frames)
 
     def add_rows(self, name: str, rows: list[tuple]) -> Functor:
         n = len(rows[0]) if rows else 0
@@ -95,8 +105,7 @@ class FactStore:
         new = self.spark.createDataFrame(data, schema)
         old = self.frames.get((name, n))
         self.frames[name, n] = new if old is None else together([old, new])
-        for hook in self.on_add:
-            hook((name, n), new)
+        self._note((name, n), new)
         return name, n
 
     def lookup(self, name: str, arity: int) -> DataFrame:
@@ -176,7 +185,7 @@ class FactStore:
         return out
 
     def clear(self) -> None:
-        self.frames, self.next_id, self.invalid = {}, 1, False
+        self.frames, self.fresh, self.settled, self.next_id, self.invalid = {}, {}, {}, 1, False
 
     def invalidate(self) -> None:
         self.clear()

@@ -70,7 +70,7 @@ def test_closure(spark):
 
 
 def test_incremental_and_trace(spark):
-    e = create_engine(spark, "j @ a(X), b(Y) ==> c(X, Y);")
+    e = create_engine(spark, "j @ a(X), b(Y) ==> c(X, Y);", trace=True)
     e.assert_fact("a", [1])
     e.assert_fact("b", [2])
     assert e.expect("c", (1, 2)).count(1)
@@ -107,6 +107,20 @@ def test_update_priority_actions(spark):
     assert rows(e2, "c", 1) == [(2,), (3,)] and e2.expect("a").missing()
     e3 = create_engine(spark, "low @ a(X) <=> p('low'); @3@ high @ a(X) <=> p('high'), !log(X);")
     e3.register_action("log", lambda *a: heard.append(a))
-    e3.register_action("log", lambda *a: heard.append(a))
     e3.assert_fact("a", [1])
     assert rows(e3, "p", 1) == [("high",)] and heard == [(1.0,)]
+
+
+@pytest.mark.parametrize("source", ["a(X), b(X) ==> c(X); c(X), a(_) ==> d(X);", "a(X) <=> X > 2 | b(X); a(X) ==> seen(X);", "a(X) \\ a(X) <=> true;", "@5@ k @ a(X) \\ a(X) <=> true; r @ a(X), b(X) ==> c(X);"])
+def test_batches(spark, source):
+    rng = random.Random(9)
+    facts = [(n, (rng.randrange(5),)) for n in rng.choices("ab", k=12)]
+    engine = create_engine(spark, source, max_rule_firings=None, trace=True)
+    m = Machine(analyzer.scheduled(engine.rules), limit=None)
+    for part in (facts[:5], facts[5:9], facts[9:]):
+        engine.assert_many(part)
+        for f in part:
+            m.add(*f)
+        m.run()
+    for f, want in m.by_functor.items():
+        assert rows(engine, *f) == sorted((tuple(map(float, r)) for r in want.values()), key=repr), f
