@@ -57,19 +57,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank over edges (src, dst, n) from seeds (host, mass); the scores add up to the seeds' mass."""
+    """(host, score): personalised PageRank over edges (src, dst, n) from seeds (host, mass); the scores add up to the seeds' mass.
+
+    A round reads the scores once, so its plan grows by one join and one aggregate.
+    """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
-    seeds = checkpointed(seeds)
-    total = seeds.agg(F.sum("mass").alias("m")).first()["m"] or 0.0
-    scores = seeds.select("host", F.col("mass").cast("double").alias("score"))
-    if not total:
-        return scores
+    steps = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
+    hosts = edges.select(F.col("dst").alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
+    ends = hosts.join(out, "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("share"))
+    steps = checkpointed(steps.unionByName(ends))
+    seeds = checkpointed(seeds.select("host", F.col("mass").cast("double").alias("score")))
+    scores, source = seeds, seeds.select("host", (F.col("score") * (1 - damping)).alias("score"))
     for i in range(1, rounds + 1):
-        moved = scores.join(steps, scores.host == steps.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("moved"))
-        stayed = moved.agg(F.coalesce(F.sum("moved"), F.lit(0.0)).alias("all"))
-        base = seeds.crossJoin(F.broadcast(stayed)).select("host", (F.col("mass") * (1 - damping) + F.col("mass") / total * damping * (total - F.col("all"))).alias("seeded"))
-        scores = base.join(moved, "host", "full").select("host", F.round(F.coalesce("seeded", F.lit(0.0)) + damping * F.coalesce("moved", F.lit(0.0)), 9).alias("score"))
+        moved = scores.join(steps, scores.host == steps.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        scores = source.unionByName(moved).groupBy("host").agg(F.round(F.sum("score"), 9).alias("score"))
         if i % CUT == 0 or i == rounds:
             scores = checkpointed(scores)
     return scores
