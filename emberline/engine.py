@@ -14,6 +14,7 @@ from emberline.functions.scalar import ARITY, BUILTINS, Typed
 from emberline.operators.fixpoint import Evaluation
 from emberline.plans import analyzer, ast, sequential
 from emberline.plans.errors import ExecutionError, RuleError
+from emberline.plans.history import History
 from emberline.plans.parser import parse_program
 from emberline.sources.store import FactStore
 
@@ -111,7 +112,7 @@ class Engine:
         self.listeners: list[Callable[[Fired], None]] = []
         self.history: DataFrame | None = None
         self.effects: list[DataFrame] = []
-        self._machine_history: dict = {}
+        self._machine_history = History()
         self._fed: dict = {}
 
     # rules
@@ -255,7 +256,7 @@ class Engine:
         if not self.trace_firings:
             raise ExecutionError(f"Facts are added to a store that has been through several strata; create the engine with trace=True, so that its history is known:\n{self.explain()}")
         for r in self.history_snapshot().collect():
-            self._machine_history.setdefault(r["rule"], set()).add(tuple(r["ids"]))
+            self._machine_history.add(r["rule"], r["ids"])
 
     def _sets(self, strata: list[analyzer.Stratum], fresh: dict | None = None) -> None:
         functions = {**BUILTINS, **{k: f.typed() for k, f in self.functions.items()}}
@@ -318,8 +319,7 @@ class Engine:
             if facts:
                 self._replace(functor, facts, old.get(functor))
         self.store.next_id = machine.next_id
-        rows = [(rule, list(ids)) for rule, sets in machine.history.items() for ids in sorted(sets)]
-        self.history = self.spark.createDataFrame(rows, "rule string, ids array<long>")
+        self.history = self.spark.createDataFrame(machine.history.rows(), "rule string, ids array<long>")
         if error:
             raise error
 
@@ -375,7 +375,7 @@ class Engine:
         """Forgets facts, history, trace and warnings; the rules stay and the engine is ready again."""
         self.store.clear()
         self.history, self.trace, self.effects, self.warnings = None, [], [], []
-        self._machine_history, self._fed = {}, {}
+        self._machine_history, self._fed = History(), {}
         self.state = "ready" if self.rules else "empty"
 
 

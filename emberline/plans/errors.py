@@ -41,5 +41,5 @@ class ExecutionError(RuleError):
     pass
 
 
-class GuardError(RuleError):
+class GuardError(ExecutionError):
     pass
