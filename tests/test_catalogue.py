@@ -30,7 +30,7 @@ def plain(rows):
 def test_against_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    expected = duck.sql(f"select {', '.join(columns)} from ({catalogue.ORACLES[name]})").fetchall()
+    expected = duck.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({catalogue.ORACLES[name]})").fetchall()
     assert plain(tuple(r) for r in df.select(*columns).collect()) == plain(expected)
 
 
