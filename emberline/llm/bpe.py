@@ -5,9 +5,9 @@ merges the adjacent pair of lowest rank, leftmost first, until no pair has a ran
 cut into shards by hash, so that a look-up reads one short shard. Decoding joins the pieces of the ids.
 
 Words are encoded once, not once an occurrence. The ``hot`` most frequent words of a bounded sample are encoded first and
-become a literal dictionary of bounded size; it is a cache and decides nothing. All other words travel with their document
-and place to the partition of the word, are encoded there once, and travel back. Texts do not travel: what is shuffled are
-the codes of hot words.
+go out as a broadcast of bounded size; it is a cache and decides nothing. All other words travel with their document and
+place to the partition of the word, are encoded there once, and travel back. Texts do not travel: what is shuffled are the
+numbers of hot words, in two bytes each (four more for the less frequent).
 
 Null text counts as empty; an empty text has no ids. Equal rows are encoded alike; a row is known by its id and its text's
 hash. Ids of texts that are long single words cost time in the square of the word's length.
@@ -16,15 +16,26 @@ hash. Ids of texts that are long single words cost time in the square of the wor
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import shuffle_partitions
+from emberline.llm.common import opened, shared, shuffle_partitions, stored
 from emberline.llm.quality import let
 
-#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample, shards of a literal map.
-HOT, LONGEST, SAMPLE, SHARDS = 400_000, 40, 40_000, 1 << 16
+#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample; shards of the literal map.
+HOT, LONGEST, SAMPLE, SHARDS = 400_000, 40, 20_000, 1 << 14
+#: Numbers of hot words in a document: from this one on they follow as four bytes; and the mark of other words.
+WIDE, RARE = 65534, 65535
+
+
+def constant(value, kind: str) -> Column:
+    """A value as one literal of a plan; the vocabulary bounds its size."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def sharded(spark: SparkSession, entries: dict[str, int], kind: str = "map<string,int>") -> tuple[Column, int]:
@@ -35,7 +46,7 @@ def sharded(spark: SparkSession, entries: dict[str, int], kind: str = "map<strin
     for k, s in rows:
         if k in entries:
             shards[s][k] = entries[k]
-    return F.from_json(F.lit(json.dumps(shards)), f"array<{kind}>"), n
+    return constant(shards, f"array<{kind}>"), n
 
 
 class Ranks:
@@ -47,7 +58,7 @@ class Ranks:
         pieces = [""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             pieces[v] = k.hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        self.pieces = constant(pieces, "array<string>")
 
     def rank(self, known: Column, piece: Column) -> Column:
         """``known`` is bound to the literal, which so stands once in a plan."""
@@ -56,11 +67,12 @@ class Ranks:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def ids(self, word: Column) -> Column:
-        """The ids of one word: a fold of merges over its bytes."""
-        return let(self.map, lambda known: self._ids(word, lambda piece: self.rank(known, piece)))
+    def with_ids(self, df: DataFrame, word: str = "word") -> DataFrame:
+        """``df`` and the ids of its words."""
+        return df.select("*", let(self.map, lambda known: self._ids(F.col(word), lambda piece: self.rank(known, piece))).alias("ids"))
 
     def _ids(self, word: Column, rank) -> Column:
+        """The ids of one word: a fold of merges over its bytes."""
         code = F.lower(F.hex(F.encode(word, "UTF-8")))
         none = F.lit(None).cast("int")
 
@@ -89,19 +101,62 @@ class Ranks:
         by_byte = lambda c: F.when(rank(c).isNotNull(), F.array(rank(c))).when(F.length(c) == 0, F.array(none)).otherwise(let(F.regexp_extract_all(c, F.lit(".."), F.lit(0)), fold))
         return let(code, by_byte)
 
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of these ids: their pieces, one after another."""
-        return F.unhex(F.array_join(let(self.pieces, lambda p: F.transform(ids, lambda i: F.get(p, i))), ""))
+    def with_decoded(self, df: DataFrame, name: str = "decoded") -> DataFrame:
+        """``df`` and the bytes of its ids: their pieces, one after another."""
+        return df.select("*", F.unhex(F.array_join(let(self.pieces, lambda p: F.transform("ids", lambda i: F.get(p, i))), "")).alias(name))
 
 
-def frequent(docs: DataFrame, ranks: Ranks, hot: int) -> dict[str, list[int]]:
-    """The words most often seen in a sample of about SAMPLE rows, with their ids."""
+def frequent(docs: DataFrame, ranks: Ranks, hot: int) -> pa.Table:
+    """(word, ids) of the words most often seen in a sample of about SAMPLE rows, most frequent first."""
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))).limit(SAMPLE + SAMPLE // 2)
     words = some.select(F.explode(ranks.words(F.col("text"))).alias("word")).groupBy("word").count().filter(F.octet_length("word") <= LONGEST)
-    best = words.orderBy(F.desc("count"), "word").limit(hot).select("word").repartition(shuffle_partitions(docs.sparkSession))
-    found = best.select("word", ranks.ids(F.col("word")).alias("ids")).toArrow()
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
+    best = words.orderBy(F.desc("count"), "word").limit(hot).repartition(shuffle_partitions(docs.sparkSession))
+    return ranks.with_ids(best).toArrow().sort_by([("count", "descending"), ("word", "ascending")]).select(["word", "ids"])
+
+
+def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For these rows of a ragged array: places of all their values, one row after another, and the rows' lengths."""
+    size = (offsets[1:] - offsets[:-1])[rows]
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1][rows] - (ends - size), size), size
+
+
+def numbered(batch: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
+    """(key, digest, words) to (key, digest, numbers, wide, rare)."""
+    lists = batch.column(2)
+    off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    words = lists.flatten()
+    found = pc.index_in(words, value_set=known)
+    rare_words = words.filter(pc.is_null(found))
+    number = pc.fill_null(found, -1).to_numpy()
+    short = np.where(number < 0, RARE, np.minimum(number, WIDE)).astype(np.uint16)
+    is_wide, is_rare = short == WIDE, short == RARE
+    wide = number[is_wide].astype(np.uint32)
+    at = lambda mask: np.concatenate([[0], np.cumsum(mask)])[off]
+    w, r = at(is_wide), at(is_rare)
+    cut = lambda values, o: pa.array([values[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(short, off), cut(wide, w), pa.ListArray.from_arrays(pa.array(r.astype(np.int32)), rare_words)], ["key", "digest", "numbers", "wide", "rare"])
+
+
+def assembled(batch: pa.RecordBatch, offsets: np.ndarray, values: np.ndarray, id_col: str) -> pa.RecordBatch:
+    """(key, numbers, wide, own) to (id_col, ids); own lists the ids of the other words in their order."""
+    numbers = batch.column(1).to_pylist()
+    counts = np.array([len(x) // 2 for x in numbers])
+    short = np.frombuffer(b"".join(numbers), np.uint16).astype(np.int64)
+    wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32)
+    own = pc.struct_field(pc.list_flatten(batch.column(3)), "ids")
+    own_off = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64) if len(own) else np.zeros(1, np.int64)
+    own_values = pc.list_flatten(own).to_numpy(zero_copy_only=False).astype(np.int32) if len(own) else np.zeros(0, np.int32)
+    rare = short == RARE
+    row = short
+    row[short == WIDE] = wide
+    row[rare] = len(offsets) - 1 + np.arange(int(rare.sum()))
+    both = np.concatenate([offsets, offsets[-1] + own_off[1:]])
+    places, size = ragged(both, row)
+    ids = np.concatenate([values, own_values])[places]
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))], [id_col, "ids"])
 
 
 def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
@@ -109,28 +164,28 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
     spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     base = docs.select(docs[id_col].alias("key"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("digest"))
-    known = frequent(base, ranks, hot)
-    codes, shards = sharded(spark, {w: i for i, w in enumerate(known)})
-    values = F.from_json(F.lit(json.dumps(list(known.values()))), "array<array<int>>")
-
-    def coded(words: Column) -> Column:
-        found = let(codes, lambda c: F.transform(words, lambda w: F.try_element_at(F.get(c, F.pmod(F.xxhash64(w), F.lit(shards)).cast("int")), w)))
-
-        def split(h: Column) -> Column:
-            places = F.filter(F.transform(h, lambda c, i: F.when(c.isNull(), i)), lambda i: i.isNotNull())
-            return let(places, lambda p: F.struct(
-                F.transform(h, lambda c, i: F.coalesce(c, -F.array_position(p, i).cast("int"))).alias("codes"),
-                F.transform(p, lambda i: F.get(words, i)).alias("rare"),
-            ))
-
-        return let(found, split)
-
-    rows = base.select("key", "digest", let(ranks.words(F.col("text")), coded).alias("c")).select("key", "digest", F.col("c.codes").alias("codes"), F.col("c.rare").alias("rare"))
-    rows = rows.repartition(n, "key", "digest")
+    known = frequent(base, ranks, hot).combine_chunks()
+    lists = pa.chunked_array(known["ids"]).combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
+    sent = shared(spark, (known["word"].combine_chunks() if known.num_rows else pa.array([], pa.string()), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int32)))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = opened(sent)[0]
+        for batch in batches:
+            yield numbered(batch, words)
+
+    def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, offsets, values = opened(sent)
+        for batch in batches:
+            yield assembled(batch, offsets, values, id_col)
+
+    rows = base.select("key", "digest", ranks.words(F.col("text")).alias("words")).mapInArrow(coded, f"key {kind}, digest long, numbers binary, wide binary, rare array<string>")
+    rows = stored(rows)  # it is read twice, and Python stages are not shared within a plan
     rare = rows.select("key", "digest", F.posexplode("rare").alias("place", "word")).repartition(n, "word")
-    each = rare.select("word").distinct().select("word", ranks.ids(F.col("word")).alias("ids"))
+    each = ranks.with_ids(rare.select("word").distinct())
     back = rare.join(each.hint("shuffle_hash"), "word").select("key", "digest", F.struct("place", "ids").alias("x")).repartition(n, "key", "digest")
-    lists = back.groupBy("key", "digest").agg(F.sort_array(F.collect_set("x")).alias("own")).select(F.col("key").alias("k"), F.col("digest").alias("d"), "own")
-    joined = rows.join(lists, rows.key.eqNullSafe(lists.k) & (rows.digest == lists.d), "left")
-    ids = F.flatten(let(values, lambda v: F.transform("codes", lambda c: F.when(c >= 0, F.get(v, c)).otherwise(F.get(F.col("own"), -c - 1)["ids"]))))
-    return joined.select(F.col("key").alias(id_col), ids.alias("ids"))
+    own = back.groupBy("key", "digest").agg(F.sort_array(F.collect_set("x")).alias("own")).select(F.col("key").alias("k"), F.col("digest").alias("d"), "own")
+    rows = rows.select("key", "digest", "numbers", "wide").repartition(n, "key", "digest")
+    both = rows.join(own, rows.key.eqNullSafe(own.k) & (rows.digest == own.d), "left")
+    empty = F.array().cast("array<struct<place:int,ids:array<int>>>")
+    return both.select("key", "numbers", "wide", F.coalesce("own", empty).alias("own")).mapInArrow(joined_up, f"`{id_col}` {kind}, ids array<int>")

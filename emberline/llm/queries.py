@@ -84,7 +84,7 @@ def byte_ranks(spark: SparkSession) -> bpe.Ranks:
 def digests(rows: DataFrame, ranks: bpe.Ranks) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids)."""
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2(ranks.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+    return ranks.with_decoded(rows).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

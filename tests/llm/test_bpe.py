@@ -21,7 +21,7 @@ def test_as_tiktoken(spark):
     texts += ["", None, " ", "  \n ", "don't they'll we've", "<|endoftext|> hello", "a" * 500, "The quick brown fox.  Twice", "The quick brown fox.  Twice", "x\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     for hot in (0, 40):
-        rows = bpe.encoded(df, ranks, hot=hot).select("doc_id", "ids", ranks.decoded(F.col("ids")).alias("text")).collect()
+        rows = ranks.with_decoded(bpe.encoded(df, ranks, hot=hot), "text").collect()
         assert len(rows) == len(texts)
         for r in rows:
             t = texts[r.doc_id] or ""
@@ -32,6 +32,6 @@ def test_as_tiktoken(spark):
 def test_shared_ids_and_empty(spark):
     ranks = queries.byte_ranks(spark)
     df = spark.createDataFrame([(1, "one text"), (1, "other text"), (1, "one text"), (None, "third")], "doc_id long, text string")
-    rows = bpe.encoded(df, ranks, hot=1).select("doc_id", ranks.decoded(F.col("ids")).cast("string").alias("t")).collect()
+    rows = ranks.with_decoded(bpe.encoded(df, ranks, hot=1)).select("doc_id", F.col("decoded").cast("string").alias("t")).collect()
     assert sorted((r.doc_id or 0, r.t) for r in rows) == [(0, "third"), (1, "one text"), (1, "one text"), (1, "other text")]
     assert bpe.encoded(df.limit(0), ranks).count() == 0
