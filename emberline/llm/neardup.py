@@ -19,6 +19,7 @@ fewer than five words has one k-mer, all of it. Rows that share an id are one do
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from emberline.llm.common import GOLDEN, Words, checkpointed, mix, single, slice
 from emberline.llm.components import components
 
 #: Words in a k-mer, hash functions, k-mers that each picks, and counters of the word-count bound.
-K, SKETCHES, LENGTH, COUNTERS = 5, 32, 2, 64
+K, SKETCHES, LENGTH, COUNTERS = 5, 32, 2, 256
 #: Texts of one bucket that a task compares with as many others at a time.
 TILE = 1024
 
@@ -136,6 +137,14 @@ def banded_distance(a: list, b: list, most: int) -> int | None:
     return None
 
 
+def alike(a: list, b: list, similarity: float) -> bool:
+    """Whether two word sequences are similar enough. Words that only one of them has bound the distance from below, which settles most pairs that are not."""
+    most = allowed(len(a), len(b), similarity)
+    if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() > most:
+        return False
+    return banded_distance(a, b, most) is not None
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCHES) -> DataFrame:
     """(id, h1, h2, n, keys, counters) of the rows whose id and text are not null."""
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null and text is not null")
@@ -168,7 +177,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = a.as_py().encode().split(), b.as_py().encode().split()
-                good.append(banded_distance(a, b, allowed(len(a), len(b), similarity)) is not None)
+                good.append(alike(a, b, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(run, "u long, v long")
@@ -192,11 +201,11 @@ def across(table: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"v": np.concatenate(vs).astype(np.int64), "u": np.concatenate(us).astype(np.int64)})
 
 
-def unresolved(buckets: DataFrame, comp: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+def unresolved(buckets: DataFrame, counters: DataFrame, comp: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
     """Candidate pairs (v, u) between components that share a bucket, without those that were tested already."""
     placed = buckets.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a <> b").drop("a", "b")
-    rows = placed.join(mixed, "key")
+    rows = placed.join(mixed, "key").join(counters, "id")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
     rows = rows.withColumn("tiles", tiles).withColumn("own", own)
@@ -213,7 +222,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     copies = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     member = rows.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "first").distinct()
     firsts = rows.join(copies, ["h1", "h2"]).filter("id = first").dropDuplicates(["id", "h1", "h2"])
-    every = firsts.select("id", "n", "counters", F.explode("keys").alias("key"))
+    every = firsts.select("id", F.explode("keys").alias("key"))
     shared_keys = Window.partitionBy("key")
     buckets = every.withColumn("lead", F.min("id").over(shared_keys)).withColumn("last", F.max("id").over(shared_keys)).filter("lead <> last").drop("last")
     buckets = checkpointed(buckets)
@@ -225,7 +234,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     links = checkpointed(verified(tested, texts, similarity))
     twins = member.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     comp = components(links)
-    late = checkpointed(unresolved(buckets.drop("lead"), comp, tested, similarity))
+    late = checkpointed(unresolved(buckets.drop("lead"), firsts.select("id", "n", "counters"), comp, tested, similarity))
     if not late.isEmpty():
         more = checkpointed(verified(late, texts, similarity))
         comp = components(links.unionByName(more)) if not more.isEmpty() else comp
