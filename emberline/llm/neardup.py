@@ -1,9 +1,13 @@
 """Near-duplicates by Order MinHash, verified by banded alignment.
 
-Sketches: the k-mers of a text (five words in a row) are labelled with their occurrence, so that a repeated k-mer counts
-as often as it occurs. Each of ``sketches`` hash functions picks the ``length`` smallest labelled k-mers and keeps them in
-the order of the text; two texts of small edit distance agree on such a tuple far more often than two that merely share
-k-mers. Texts that agree on a tuple are candidates.
+Sketches: the k-mers of a text (three, and again two, words in a row) are labelled with their occurrence, so that a repeated
+k-mer counts as often as it occurs. For each k, each of ``sketches`` hash functions picks the ``length`` smallest labelled
+k-mers and keeps them in the order of the text; two texts of small edit distance agree on such a tuple far more often than
+two that merely share k-mers. Texts that agree on a tuple are candidates.
+
+Short texts: e edits of m words leave m - e words in at most e + 1 runs, so two texts that are similar enough share a run
+whose least length follows from m (three words at a similarity of 0.8, two where m is 5). Up to ``SHORT`` words all runs of
+that length are keys, and no pair is missed.
 
 Verification: two texts are linked if the edit distance of their word sequences, by an alignment confined to the band that
 the threshold leaves, is at most (1 - similarity) of the longer one.
@@ -13,8 +17,8 @@ a bucket that still holds several components, texts of different components are
 they cannot be similar enough; so no link between candidates is lost, and a group of thousands of copies costs one alignment
 a text and bucket. Such buckets are cut into tiles of bounded size.
 
-Null texts are alike to nothing; rows with a null id get a null class. Empty texts are exact copies of each other. A text of
-fewer than five words has one k-mer, all of it. Rows that share an id are one document, which has the links of them all.
+Null texts are alike to nothing; rows with a null id get a null class. Empty texts are exact copies of each other. Rows that
+share an id are one document, which has the links of them all.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from pyspark.sql import functions as F
 from emberline.llm.common import GOLDEN, Words, checkpointed, mix, single, slices
 from emberline.llm.components import components
 
-#: Words in a k-mer, hash functions, k-mers that each picks, and counters of the word-count bound.
-K, SKETCHES, LENGTH, COUNTERS = 5, 32, 2, 256
+#: Words in a k-mer, hash functions for each k, k-mers that each picks, and counters of the word-count bound.
+K, SKETCHES, LENGTH, COUNTERS = (3, 2), 32, 2, 256
+#: Pairs whose shorter text has at most this many words share a key for certain.
+SHORT = 52
 #: Texts of one bucket that a task compares with as many others at a time.
 TILE = 1024
 
@@ -91,6 +97,39 @@ def order_minhash(kmers: np.ndarray, offsets: np.ndarray, sketches: int, length:
     return out
 
 
+def sure_run(longer: int, similarity: float) -> int:
+    """Words in a row, three at most, that two similar texts share if the longer has ``longer`` words."""
+    edits = allowed(longer, longer, similarity)
+    return max(1, min(3, -(-(longer - edits) // (edits + 1))))
+
+
+def candidate_keys(words: Words, hashes: np.ndarray, sketches: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all texts, and the texts' offsets among them: all sure runs where a partner may be short, sketches of the texts over ``SHORT`` words."""
+    n = words.counts()
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    limit = int(SHORT / similarity + 1e-9)
+    runs = [{sure_run(m, similarity) for m in range(i, min(int(i / similarity + 1e-9), limit) + 1)} for i in range(limit + 1)]
+    for k in sorted(set().union(*runs[1:])):
+        has = np.array([i > 0 and k in r for i, r in enumerate(runs)] + [False])[np.minimum(n, limit + 1)]
+        kmers, offsets = kmer_hashes(words, hashes, k)
+        owner = np.repeat(np.arange(len(n)), np.diff(offsets))
+        owners.append(owner[has[owner]])
+        found.append(kmers[has[owner]])
+    for k in K:
+        kmers, offsets = kmer_hashes(words, hashes, k)
+        sizes = np.diff(offsets) * (n > SHORT)
+        if sizes.any():
+            kmers = kmers[np.repeat(n > SHORT, np.diff(offsets))]
+            owners.append(np.repeat(np.flatnonzero(sizes), sketches))
+            found.append(order_minhash(kmers, np.concatenate([[0], np.cumsum(sizes)]), sketches, LENGTH).reshape(-1))
+    owner, keys = np.concatenate(owners), np.concatenate(found)
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    return keys[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(n)))])
+
+
 def word_counters(words: Words, hashes: np.ndarray, n_texts: int, dims: int) -> np.ndarray:
     """Words of each text by hash, in ``dims`` counters that stop at 255. Their distance bounds the edit distance from below."""
     slot = words.text_of() * dims + (hashes >> np.uint64(40)).astype(np.int64) % dims
@@ -145,7 +184,7 @@ def alike(a: list, b: list, similarity: float) -> bool:
     return banded_distance(a, b, most) is not None
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCHES) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCHES, similarity: float = 0.8) -> DataFrame:
     """(id, h1, h2, n, keys, counters) of the rows whose id and text are not null."""
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("id is not null and text is not null")
     source = source.select("id", "text", F.xxhash64("text").alias("h1"), F.expr("xxhash64(text, 'second', length(text))").alias("h2"))
@@ -155,14 +194,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCH
             for part in slices(batch, "text"):
                 words = Words(single(part.column(1)))
                 hashes = words.hashes()
-                kmers, offsets = kmer_hashes(words, hashes, K)
-                keys = order_minhash(kmers, offsets, sketches, LENGTH) if len(kmers) else np.zeros((0, sketches), np.uint64)
-                has = np.diff(offsets) > 0
-                at = np.concatenate([[0], np.cumsum(has * sketches)]).astype(np.int32)
+                keys, at = candidate_keys(words, hashes, sketches, similarity)
                 counters = word_counters(words, hashes, part.num_rows, COUNTERS)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(2), part.column(3), pa.array(words.counts(), pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(keys.reshape(-1).view(np.int64))), pa.array([c.tobytes() for c in counters], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array([c.tobytes() for c in counters], pa.binary()),
                 ], ["id", "h1", "h2", "n", "keys", "counters"])
 
     return source.mapInArrow(run, "id long, h1 long, h2 long, n int, keys array<long>, counters binary")
@@ -218,15 +254,17 @@ def unresolved(buckets: DataFrame, counters: DataFrame, comp: DataFrame, tested:
 
 def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES) -> DataFrame:
     """(id_col, class_id, n_words) for every row of ``docs``; class_id is the least id of its class. Null text: a class of its own."""
-    rows = checkpointed(sketched(docs, id_col, text_col, sketches))
+    rows = checkpointed(sketched(docs, id_col, text_col, sketches, similarity))
     copies = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     member = rows.select("id", "h1", "h2").join(copies, ["h1", "h2"]).select("id", "first").distinct()
     firsts = rows.join(copies, ["h1", "h2"]).filter("id = first").dropDuplicates(["id", "h1", "h2"])
-    every = firsts.select("id", F.explode("keys").alias("key"))
+    every = firsts.select("id", "n", F.explode("keys").alias("key"))
     shared_keys = Window.partitionBy("key")
-    buckets = every.withColumn("lead", F.min("id").over(shared_keys)).withColumn("last", F.max("id").over(shared_keys)).filter("lead <> last").drop("last")
+    buckets = every.withColumn("lead", F.min(F.struct("id", "n")).over(shared_keys)).withColumn("last", F.max("id").over(shared_keys)).filter("lead.id <> last").drop("last")
     buckets = checkpointed(buckets)
-    star = buckets.filter("id > lead").select(F.col("lead").alias("v"), F.col("id").alias("u")).distinct()
+    # Lengths rule out most pairs that merely share words; those of ids with several texts are left to the comparison across components.
+    near = F.abs(F.col("n") - F.col("lead.n")) <= (1 - similarity) * F.greatest("n", "lead.n") + 1e-9
+    star = buckets.filter(F.col("id") > F.col("lead.id")).filter(near).select(F.col("lead.id").alias("v"), F.col("id").alias("u")).distinct()
     needed = buckets.select("id").distinct()
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).filter("text is not null").join(needed, "id", "left_semi")
     texts = checkpointed(texts)
@@ -234,7 +272,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     links = checkpointed(verified(tested, texts, similarity))
     twins = member.filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     comp = components(links)
-    late = checkpointed(unresolved(buckets.drop("lead"), firsts.select("id", "n", "counters"), comp, tested, similarity))
+    late = checkpointed(unresolved(buckets.select("id", "key"), firsts.select("id", "n", "counters"), comp, tested, similarity))
     if not late.isEmpty():
         more = checkpointed(verified(late, texts, similarity))
         comp = components(links.unionByName(more)) if not more.isEmpty() else comp

@@ -1,11 +1,15 @@
 """Order MinHash classes against all pairs, and the alignment against the plain recurrence."""
 
+import itertools
 import random
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from emberline.llm import neardup
+from emberline.llm.common import Words
 
 
 def distance(a, b):
@@ -85,3 +89,46 @@ def test_shared_ids(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(5, a), (5, b), (2, a), (1, b), (9, "c"), (None, a)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.classes(df).collect()) == [(0, 0), (1, 1), (2, 1), (5, 1), (5, 1), (9, 9)]
+
+
+def pairs_at(rng, n, share, spread, count=40):
+    """Texts of n words and versions with ``share`` of the words changed, all at the same distance or at random places, some by insertion and deletion."""
+    e = int(share * n + 1e-9)
+    for i in range(count):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        if spread:
+            b = list(a)
+            for j in range(e):
+                b[(2 * j + 1) * n // (2 * e)] = f"s{rng.randrange(10**6)}"
+        elif i % 2:
+            b = list(a)
+            for j in rng.sample(range(n), e):
+                b[j] = f"s{rng.randrange(10**6)}"
+        else:
+            b = edited(rng, a, e)
+        if neardup.alike(a, b, 0.8):
+            yield a, b
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 10, 15, 20, 30, 50, 52, 53, 60, 66, 100, 200])
+def test_recall(n):
+    rng, pairs = random.Random(n), []
+    for share in (0.1, 0.15, 0.2):
+        for spread in (False, True):
+            pairs += pairs_at(rng, n, share if share * n >= 1 else 0.2, spread)
+    words = Words(pa.array([" ".join(t) for p in pairs for t in p]))
+    keys, at = neardup.candidate_keys(words, words.hashes(), neardup.SKETCHES, 0.8)
+    sets = [set(keys[i:j].tolist()) for i, j in itertools.pairwise(at)]
+    found = sum(not a.isdisjoint(b) for a, b in zip(sets[::2], sets[1::2], strict=True)) / len(pairs)
+    print(n, len(pairs), found)
+    assert len(pairs) > 150 and (found == 1 if n <= neardup.SHORT else found >= 0.99)
+
+
+def test_sparse_edits_are_joined(spark):
+    rng, rows = random.Random(5), []
+    for n in (5, 10, 20, 50, 200):
+        for a, b in pairs_at(rng, n, 0.2, True, 8):
+            rows += [" ".join(a), " ".join(b)]
+    rows = list(enumerate(rows))
+    found = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == plain(rows)
