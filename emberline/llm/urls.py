@@ -76,6 +76,33 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     return scores
 
 
+def returned(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(kind, host, score): personalised PageRank for each kind of edges (kind, src, dst, n) and seeds (kind, host, mass).
+
+    Mass of hosts without links returns to the seeds of its kind. Returned mass follows the ways of the seeds' own, so it is
+    left out of the rounds and the scores are scaled at the end to add up to the seeds' mass.
+    """
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    steps = checkpointed(edges.join(out, ["kind", "src"]).select(F.col("kind").alias("k"), "src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    source = checkpointed(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).cast("double").alias("score")))
+    masses = {r["kind"]: r["mass"] / (1 - damping) for r in source.groupBy("kind").agg(F.sum("score").alias("mass")).collect()}
+
+    def moved(scores: DataFrame) -> DataFrame:
+        sent = scores.join(steps, (scores.kind == steps.k) & (scores.host == steps.src)).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        return source.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+
+    scores = source
+    for i in range(1, rounds + 1):
+        scores = moved(scores)
+        if i % CUT == 0 or i == rounds:
+            scores = checkpointed(scores)
+    sums = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    factor = F.lit(1.0)
+    for kind, total in sums.items():
+        factor = F.when(F.col("kind") == kind, F.lit(masses[kind] / total)).otherwise(factor)
+    return scores.select("kind", "host", F.round(F.col("score") * factor, 9).alias("score"))
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str]], margin: float = 0.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, host, path, rule, verdict, trust, distrust) of every page."""
     url = F.col(f"`{url_col}`").cast("string")
@@ -83,10 +110,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], margin: float = 0.0,
     base = base.withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
     edges = checkpointed(host_edges(base.select("host", "html")))
     counted = checkpointed(base.filter("fit is not null").groupBy("host", F.col("fit.verdict").alias("verdict")).agg(F.count("*").alias("mass")))
-    trust = spread(edges, counted.filter("verdict = 'allow'").select("host", "mass"))
-    distrust = spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), counted.filter("verdict = 'block'").select("host", "mass"))
-    hosts = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    hosts = hosts.select(F.col("host").alias("h"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    ways = edges.withColumn("kind", F.lit("allow")).unionByName(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
+    scores = returned(ways, counted.select(F.col("verdict").alias("kind"), "host", "mass"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
+    hosts = scores.groupBy(F.col("host").alias("h")).agg(of("allow").alias("trust"), of("block").alias("distrust"))
     rows = base.drop("html").join(hosts, F.col("host") == F.col("h"), "left")
     by_host = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > margin + 1e-6, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -43,3 +43,29 @@ def test_judged(spark):
         (10, "myorg", "/es/", None, "allow"), (11, "h", "", None, "allow"), (11, "h", "", None, "allow"),
     ]
     assert urls.judged(df.limit(0), queries.URL_RULES).count() == 0
+
+
+def solved(edges, seeds):
+    """Textbook personalised PageRank: rows without links lead to the seeds; the linear system is solved."""
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
+    m = np.zeros((len(hosts),) * 2)
+    for (a, b), n in edges.items():
+        m[at[a], at[b]] += n
+    s = np.array([float(seeds.get(h, 0)) for h in hosts])
+    m[~m.any(axis=1)] = s
+    m /= m.sum(axis=1, keepdims=True)
+    x = np.linalg.solve(np.eye(len(hosts)) - urls.DAMPING * m.T, (1 - urls.DAMPING) * s)
+    return {h: x[i] for h, i in at.items() if x[i] > 1e-6}
+
+
+def returned(spark, edges, seeds, **options):
+    frame = spark.createDataFrame([("k", a, b, n) for (a, b), n in edges.items()], "kind string, src string, dst string, n long")
+    found = urls.returned(frame, spark.createDataFrame([("k", h, m) for h, m in seeds.items()], "kind string, host string, mass long"), **options)
+    return {r.host: r.score for r in found.collect() if r.score > 1e-6}
+
+
+def test_dangling_mass_returns(spark):
+    # two links to a host without links, and a seed that has none
+    edges, seeds = {("a", "end"): 1, ("a", "b"): 1, ("b", "end"): 2}, {"a": 3, "lone": 1}
+    assert returned(spark, edges, seeds) == pytest.approx(solved(edges, seeds), abs=1e-6)
