@@ -6,7 +6,7 @@ that link to it. Mass of hosts without a link returns to the seeds. A host is bl
 more than ``margin``; a host that neither reaches is allowed. Pages that a rule fits follow the rule.
 
 Edges are counted by host before the shuffle; each round joins the scores with the host edges, and every few rounds are
-cut by a checkpoint.
+cut by a checkpoint. Rounds go on until the scores have converged to well under the least margin of a verdict.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and, having no seeds, are allowed. Null html has
 no links. Repeated rows count as often as they occur. An empty table gives an empty result.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from emberline.llm.common import checkpointed
 
 DAMPING, ROUNDS, CUT = 0.85, 12, 4
+#: Rounds between checkpoints, and the mass that may be missing when they end: a fifth of the least margin of a verdict.
+STRIDE, TOLERANCE = 8, 2e-7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -76,11 +78,14 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: fl
     return scores
 
 
-def returned(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def returned(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(kind, host, score): personalised PageRank for each kind of edges (kind, src, dst, n) and seeds (kind, host, mass).
 
     Mass of hosts without links returns to the seeds of its kind. Returned mass follows the ways of the seeds' own, so it is
     left out of the rounds and the scores are scaled at the end to add up to the seeds' mass.
+
+    Every score only grows, by at most ``damping`` times the growth of the round before. Rounds go on until the growth that
+    can follow is under ``tolerance`` in sum over all hosts (or under what a double can tell of that sum).
     """
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     steps = checkpointed(edges.join(out, ["kind", "src"]).select(F.col("kind").alias("k"), "src", "dst", (F.col("n") / F.col("total")).alias("share")))
@@ -91,14 +96,19 @@ def returned(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
         sent = scores.join(steps, (scores.kind == steps.k) & (scores.host == steps.src)).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         return source.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
-    scores = source
-    for i in range(1, rounds + 1):
-        scores = moved(scores)
-        if i % CUT == 0 or i == rounds:
-            scores = checkpointed(scores)
-    sums = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+    scores, before = source, {kind: (1 - damping) * m for kind, m in masses.items()}
+    while masses:
+        for _ in range(STRIDE):
+            scores = moved(scores)
+        scores = checkpointed(scores)
+        sums = {r["kind"]: r["s"] for r in scores.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
+        # The last of the rounds grew least; scaling can enlarge what is missing by masses / sums.
+        left = {kind: (total - before[kind]) / STRIDE * damping / (1 - damping) for kind, total in sums.items()}
+        if all(left[kind] * masses[kind] / total <= max(tolerance, 1e-13 * masses[kind]) for kind, total in sums.items()):
+            break
+        before = sums
     factor = F.lit(1.0)
-    for kind, total in sums.items():
+    for kind, total in sums.items() if masses else ():
         factor = F.when(F.col("kind") == kind, F.lit(masses[kind] / total)).otherwise(factor)
     return scores.select("kind", "host", F.round(F.col("score") * factor, 9).alias("score"))
 

@@ -69,3 +69,17 @@ def test_dangling_mass_returns(spark):
     # two links to a host without links, and a seed that has none
     edges, seeds = {("a", "end"): 1, ("a", "b"): 1, ("b", "end"): 2}, {"a": 3, "lone": 1}
     assert returned(spark, edges, seeds) == pytest.approx(solved(edges, seeds), abs=1e-6)
+
+
+def test_long_chains_converge(spark):
+    edges = {(f"c{i}", f"c{i + 1}"): 1 for i in range(40)} | {("c40", "c38"): 1, ("x", "y"): 2, ("y", "x"): 1, ("y", "c0"): 3}
+    seeds = {"c0": 900, "x": 100}
+    expected = solved(edges, seeds)
+    assert len(expected) == 43 and returned(spark, edges, seeds) == pytest.approx(expected, abs=1e-6)
+
+
+def test_far_host_is_blocked(spark):
+    link = lambda i: f'<a href="http://c{i}.net/">x</a>'
+    rows = [(i, f"http://c{i}.net/", link(i + 1)) for i in range(13)] + [(13, "http://c13.net/", ""), (14, "http://c13.net/bad", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in urls.judged(df, [("c13.net/bad", "block")]).collect()} == {"block"}
