@@ -1,12 +1,13 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine by a block-max inverted index.
 
-Training takes a bounded sample of labelled documents (``examples`` a class, whole texts) and picks the terms that go with
-a label (chi-square over ``least_chi``). Document frequencies of these terms are then counted over all documents. Examples
-and documents are TF-IDF vectors of unit length over the terms.
+Training takes a bounded sample of labelled documents (``examples`` a class, whole texts) and all of their terms. Document
+frequencies of these terms are then counted over all documents. Examples and documents are TF-IDF vectors of unit length,
+each term weighted by 1 plus its chi-square with the label, so that words which go with a label count for most and none is
+left out. Words that no example has are in no vector; they would change the order of no neighbours.
 
 The index holds for each term its postings in blocks of ``BLOCK`` examples and, for each term and block, the greatest
-weight. A query sorts the blocks by the bound that these weights give and reads blocks until no bound exceeds the k-th
-best similarity, which makes the k nearest examples exact. Neighbours vote with weight 1 / (1 - similarity + 0.05) times
+weight. A query sorts the blocks by the bound that these weights give and reads blocks, a few at a time, until no bound
+exceeds the k-th best similarity, which makes the k nearest examples exact. Neighbours vote with weight 1 / (1 - similarity + 0.05) times
 the number of documents that an example stands for; isotonic regression over the examples themselves (each left out of its
 own vote) turns votes into calibrated scores. A document without any term has the rate of such examples.
 
@@ -28,8 +29,8 @@ from emberline.llm.common import opened, shared
 from emberline.llm.sampling import remainder, sampled_ids, texts_of
 
 BLOCK, NEIGHBOURS = 64, 25
-#: At most this many examples of each label (times 1.5), and terms.
-EXAMPLES, TERMS = 2000, 512
+#: At most this many examples of each label (times 1.5).
+EXAMPLES = 2000
 PUNCTUATION = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -43,39 +44,59 @@ class Index:
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK) or 1
-        lists: list[list] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.ids = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.at = [np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK) for ids in self.ids]
-        self.most = np.zeros((n_terms, self.blocks))
-        for t, (ids, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            np.maximum.at(self.most[t], ids // BLOCK, w)
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        terms = np.fromiter((t for v in vectors for t in v), np.int64, sizes.sum())
+        weights = np.fromiter((w for v in vectors for w in v.values()), float, sizes.sum())
+        owner = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((owner, terms))
+        terms, self.ids, self.weights = terms[order], owner[order].astype(np.int32), weights[order]
+        # An entry is a term's part in a block: its postings are starts[e]:starts[e + 1]; a term's entries are first[t]:first[t + 1].
+        place = terms * self.blocks + self.ids // BLOCK
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        self.starts = np.append(starts, len(place))
+        self.block = (place[starts] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
+        self.first = np.searchsorted(place[starts] // self.blocks, np.arange(n_terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
         """The k most similar examples with a similarity over 0, equal ones by their number."""
-        terms = list(query)
-        if not terms:
-            return []
-        weights = np.array([query[t] for t in terms])
-        bound = weights @ self.most[terms]
+        terms = np.fromiter(query, np.int64, len(query))
+        first = self.first[terms]
+        entries, owner = ranges(first, self.first[terms + 1] - first)
+        weights = np.fromiter(query.values(), float, len(query))[owner]
+        block = self.block[entries]
+        bound = np.bincount(block, weights * self.most[entries], self.blocks)
+        order = np.argsort(-bound, kind="stable")
         found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) == k and bound[b] + 1e-9 < -found[-1][0]):
+        at, step = 0, 4
+        while at < self.blocks:
+            take = order[at : at + step]
+            take = take[(bound[take] > 0) & ((len(found) < k) | (bound[take] + 1e-9 >= (-found[-1][0] if found else 0)))]
+            if not len(take):  # bounds fall, so no later block can do better
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                part = slice(self.at[t][b], self.at[t][b + 1])
-                score[self.ids[t][part] - b * BLOCK] += w * self.weights[t][part]
-            if 0 <= without - b * BLOCK < BLOCK:
-                score[without - b * BLOCK] = 0
-            new = [(-round(float(score[i]), 9), int(i + b * BLOCK)) for i in np.flatnonzero(score > 0)]
-            found = sorted(found + new)[:k]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[take] = True
+            e = np.flatnonzero(chosen[block])
+            begin = self.starts[entries[e]]
+            post, of = ranges(begin, self.starts[entries[e] + 1] - begin)
+            score = np.bincount(self.ids[post], weights[e][of] * self.weights[post], self.n)
+            if without >= 0:
+                score[without] = 0
+            some = np.flatnonzero(score > 0)
+            if len(some) > k:
+                least = np.partition(score[some], -k)[-k]
+                some = some[score[some] >= least - 2e-9]
+            found = sorted(found + [(-round(float(score[i]), 9), int(i)) for i in some])[:k]
+            at, step = at + step, step * 2
         return [(i, -s) for s, i in found]
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers starts[i] to starts[i] + sizes[i] for all i in a row, and the i of each."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner], owner
+
+
 def isotonic(x: list[float], y: list[float], w: list[float]) -> tuple[list[float], list[float]]:
     """The best non-decreasing fit of y by x, as steps (lower ends, values)."""
     steps: list[list[float]] = []
@@ -135,59 +156,58 @@ class Model:
         return min(1.0, max(0.0, 0.98 * self.steps[1][max(at, 0)] + 0.02 * vote)), near
 
 
-def telling(counts: list[set], labels: list[int], stand: list[float], least_chi: float, most: int) -> list[bytes]:
-    """The terms most associated with label 1 or 0, by chi-square of their presence in the examples."""
+def associations(counts: list[set], labels: list[int]) -> dict[bytes, float]:
+    """For every term of the examples, 1 plus the chi-square of its presence and the label."""
     n1 = sum(labels)
     n0 = len(labels) - n1
     with1, with0 = Counter(), Counter()
     for terms, y in zip(counts, labels, strict=True):
         (with1 if y else with0).update(terms)
-    found = []
-    for t in with1.keys() | with0.keys():
+    found = {}
+    for t in sorted(with1.keys() | with0.keys()):
         a, b = with1[t], with0[t]
         c, d = n1 - a, n0 - b
-        if a + b >= 4 and (low := (a + b) * (c + d) * n1 * n0):
-            chi = (a * d - b * c) ** 2 * len(labels) / low
-            if chi >= least_chi:
-                found.append((-chi, t))
-    return [t for _, t in sorted(found)[:most]]
+        low = (a + b) * (c + d) * n1 * n0
+        found[t] = 1 + ((a * d - b * c) ** 2 * len(labels) / low if low else 0.0)
+    return found
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[int, list[int]]:
-    """How many documents there are, and how many have each term; each task sends one row."""
+    """How many documents there are, and how many have each term; each task sends a row for each term that it met."""
     sent = shared(docs.sparkSession, {t: i for i, t in enumerate(terms)})
     n = len(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = opened(sent).get
-        total, seen = np.zeros(n + 1, np.int64), 0
+        total = np.zeros(n + 1, np.int64)  # the last counts the documents
         for batch in batches:
             for text in batch.column(0):
-                seen += 1
+                total[n] += 1
                 hits = set(map(get, terms_of(text.as_py())))
                 hits.discard(None)
                 if hits:
-                    total[list(hits)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total[:n].tolist()], pa.list_(pa.int64()))], ["n", "df"])
+                    total[np.fromiter(hits, np.int64, len(hits))] += 1
+        met = np.flatnonzero(total)
+        for i in range(0, len(met), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(met[i : i + (1 << 16)]), pa.array(total[met[i : i + (1 << 16)]])], ["term", "df"])
 
-    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "n long, df array<long>")
-    sums = parts.select("n", F.posexplode_outer("df").alias("term", "df")).groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect()
-    df = [0] * n
-    for r in sums:
-        if r["term"] is not None:
-            df[r["term"]] = r["df"]
-    return max([r["n"] for r in sums], default=0), df
+    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "term long, df long")
+    sums = parts.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(n + 1, np.int64)
+    df[sums["term"].to_numpy()] = sums["df"].to_numpy()
+    return int(df[n]), df[:n].tolist()
 
 
-def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, least_chi: float = 25.0) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """A model from (id_col, label_col) rows whose label is 0 or 1."""
     chosen = sampled_ids(labels.filter(F.col(label_col).isin(0, 1)), label_col, examples, id_col)
     texts = texts_of(docs, [i for i, _, _ in chosen], id_col, text_col)
     chosen = [x for x in chosen if x[0] in texts]
     y, stand = [int(x[1]) for x in chosen], [float(x[2]) for x in chosen]
-    model = Model(telling([set(terms_of(texts[i])) for i, _, _ in chosen], y, stand, least_chi, TERMS))
+    weights = associations([set(terms_of(texts[i])) for i, _, _ in chosen], y)
+    model = Model(list(weights))
     n, df = document_frequencies(docs, list(model.terms), text_col)
-    model.fit([math.log((n + 1) / (d + 1)) + 1e-3 for d in df], [x[0] for x in chosen], [model.counts(texts[x[0]]) for x in chosen], y, stand)
+    model.fit([(math.log((n + 1) / (d + 1)) + 1e-3) * w for d, w in zip(df, weights.values(), strict=True)], [x[0] for x in chosen], [model.counts(texts[x[0]]) for x in chosen], y, stand)
     return model
 
 

@@ -100,5 +100,18 @@ def test_toxicity(spark):
     assert len({r.score for r in toxicity.scored(docs, none).collect()}) == 1
 
 
+def test_rare_terms_count(spark):
+    """Each of the toxic words is in two examples of 200; none has a high chi-square."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(vocab, k=20) + ([f"bad{i // 2 % 50}", f"evil{i // 2 % 50}"] if i % 2 else []))) for i in range(200)]
+    rows.append((900, "bad7 evil7"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.trained(docs, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int"))
+    assert {w.encode() for _, t in rows for w in t.split()} == set(model.terms)
+    row = toxicity.scored(docs.filter("doc_id = 900"), model).first()
+    assert {e.id for e in row.evidence} == {15, 115} and row.score >= 0.3
+
+
 def test_isotonic():
     assert toxicity.isotonic([1, 2, 3, 4], [0, 1, 0, 1], [1, 1, 1, 1]) == ([1, 2, 4], [0, 0.5, 1])
