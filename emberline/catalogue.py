@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.engine import Engine, create_engine
+from emberline.engine import Engine, HostFunction, create_engine, define_host_module
 from emberline.functions import intervals as iv
 from emberline.operators import idioms
 from emberline.operators.interval_join import interval_join
@@ -200,8 +200,15 @@ def simpag_left_over(spark, sf):
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE o_orderstatus END AS s FROM orders")
 def update_inplace(spark, sf):
-    df = table(spark, sf, "orders", "o_orderkey", "o_orderstatus").toDF("k", "s")
-    return idioms.update(df, {"s": "O"}, {"s": F.lit("open")})
+    e = solved(spark, "open @ ord(K, 'O') ==> ord(K, 'O') <= ord(K, 'open');", {"ord": table(spark, sf, "orders", "o_orderkey", "o_orderstatus")})
+    return named(e.facts("ord", 2), "k", "s")
+
+
+@query("SELECT s, n FROM (SELECT DISTINCT 'fulfilled' AS s, o_custkey::DOUBLE * 2 AS n FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 20 UNION ALL SELECT o_orderstatus, o_custkey::DOUBLE FROM orders WHERE o_orderstatus <> 'F' OR o_custkey <= 20)")
+def update_equal_facts(spark, sf):
+    """Facts that are equal are replaced together, by one."""
+    df = table(spark, sf, "orders", "o_orderstatus", "o_custkey").withColumn("o_custkey", F.col("o_custkey").cast("double"))
+    return named(solved(spark, "ful @ of('F', C) <=> C > 20 | of('F', C) <= of('fulfilled', C * 2);", {"of": df}).facts("of", 2), "s", "n")
 
 
 @query("SELECT * FROM (VALUES (1.0::DOUBLE, 15.0::DOUBLE), (2, 27)) t(k, v)")
@@ -262,12 +269,11 @@ def bi_guard_errors(spark, sf):
     return parts(spark, sf, rules, "out", "k", "c")
 
 
-@query("SELECT 'r_name' AS what, arg_min(r_name, r_regionkey) AS v FROM region")
+@query("SELECT p_partkey AS k, (SELECT r_name FROM region ORDER BY r_regionkey LIMIT 1) AS v FROM part WHERE p_size > (SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT 1)")
 def bi_lookup_one(spark, sf):
-    e = create_engine(spark, "go(X) ==> out('r_name', lookupOne('region', 1));")
-    rows = [tuple(r) for r in table(spark, sf, "region", "r_regionkey", "r_name").orderBy("r_regionkey").collect()]
-    e.assert_many([("region", r) for r in rows] + [("go", (1,))])
-    return named(e.facts("out", 2), "what", "v")
+    regions = table(spark, sf, "region", "r_regionkey", "r_name").withColumn("id", F.col("r_regionkey").cast("long"))
+    e = solved(spark, "part(K, S) ==> S > lookupOne('region', 0) | out(K, lookupOne('region', 1));", {"region": regions, "part": table(spark, sf, "part", "p_partkey", "p_size")}, key="id")
+    return named(e.facts("out", 2), "k", "v")
 
 
 @query("SELECT count(*)::DOUBLE AS n FROM region HAVING count(*) > 0")
@@ -409,3 +415,83 @@ def incremental_assert(spark, sf):
     e.assert_many([("nation", r) for r in rows[:10]] + [("region", tuple(r)) for r in table(spark, sf, "region", "r_regionkey", "r_name").collect()])
     e.assert_many([("nation", r) for r in rows[10:]])
     return named(e.facts("lies", 2), "n", "r")
+
+
+@query("SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_nationkey < 6")
+def ids_of_many_partitions(spark, sf):
+    """A symmetric self-join of facts from two batches of more partitions than a small range of ids could hold."""
+    sup = table(spark, sf, "supplier", "s_suppkey", "s_nationkey").filter("s_nationkey < 6")
+    e = create_engine(spark, "sup(S, N), sup(T, N) ==> pair(min(S, T), max(S, T));", max_rule_firings=None)
+    for odd in (0, 1):
+        e.assert_df("sup", sup.filter(F.col("s_suppkey") % 2 == odd).repartition(150, "s_suppkey"), run=False)
+    e.run()
+    return e.facts("pair", 2).select(F.col("a0").cast("long").alias("x"), F.col("a1").cast("long").alias("y"))
+
+
+@query("SELECT 1 AS arity, count(*) AS n FROM region UNION ALL SELECT 2, count(*) FROM nation")
+def store_lookup_name(spark, sf):
+    e = create_engine(spark, max_rule_firings=None)
+    e.assert_df("place", table(spark, sf, "region", "r_regionkey"))
+    e.assert_df("place", table(spark, sf, "nation", "n_nationkey", "n_name"))
+    e.assert_df("other", table(spark, sf, "region", "r_name"))
+    return e.store.lookup_name("place").groupBy("arity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_quantity > 48 AND l_orderkey % 2 = 0")
+def store_find(spark, sf):
+    e = solved(spark, "", {"item": table(spark, sf, "lineitem", "l_orderkey", "l_quantity")})
+    return named(e.store.find("item", 2, (F.col("a1") > 48) & (F.col("a0") % 2 == 0)), "k", "q")
+
+
+@query("SELECT true AS has, false AS other, true AS all_alive, false AS beyond, n_name AS name FROM nation ORDER BY n_nationkey LIMIT 1")
+def store_points(spark, sf):
+    """get, has and all_alive by id."""
+    store = solved(spark, "", {"nation": table(spark, sf, "nation", "n_nationkey", "n_name")}).store
+    first = store.lookup("nation", 2).first()
+    name = __import__("json").loads(store.get(first["cid"])["args"][1])["v"]
+    row = (store.has(first["cid"]), store.has(store.next_id), store.all_alive([first["cid"], first["cid"] + 1]), store.all_alive([first["cid"], store.next_id]), name)
+    return spark.createDataFrame([row], "has boolean, other boolean, all_alive boolean, beyond boolean, name string")
+
+
+@query("SELECT n_nationkey AS k FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation)")
+def store_remove(spark, sf):
+    store = solved(spark, "", {"nation": table(spark, sf, "nation", "n_nationkey").withColumn("id", F.col("n_nationkey").cast("long"))}, key="id").store
+    store.remove(store.lookup("nation", 1).first()["cid"])
+    return named(store.frame(("nation", 1)), "k")
+
+
+@query("SELECT p_partkey AS k, p_size::DOUBLE * 2 + 1 AS v FROM part WHERE NOT p_size > 10")
+def let_and_not(spark, sf):
+    rules = "part(K, S) ==> !(S > 10) | let T = S * 2, out(K, T + 1);"
+    return named(solved(spark, rules, {"part": table(spark, sf, "part", "p_partkey", "p_size")}).facts("out", 2), "k", "v")
+
+
+@query("SELECT p_partkey AS k, p_retailprice * 1.2 AS v FROM part WHERE p_size % 2 = 0")
+def host_module(spark, sf):
+    """A module's functions, imported by name, and declarations that are checked."""
+    functions = {"even": HostFunction(column=lambda x: x % 2 == 0, returns="boolean", arity=1), "taxed": HostFunction(column=lambda x: x * 1.2, arity=1)}
+    source = "import host shop; function even/1; constraint part/3; part(K, S, P) ==> even(S) | out(K, taxed(P));"
+    e = create_engine(spark, source, modules=(define_host_module("shop", functions),), max_rule_firings=None, strict=True)
+    e.assert_df("part", table(spark, sf, "part", "p_partkey", "p_size", "p_retailprice"))
+    return named(e.facts("out", 2), "k", "v")
+
+
+@query("SELECT 'seen' AS action, n_nationkey AS k FROM nation WHERE n_regionkey = 1")
+def action_log(spark, sf):
+    """What rules ask the host to do, as a frame; a registered handler hears of each."""
+    heard: list = []
+    e = create_engine(spark, "nation(N, 1) ==> !seen(N);", max_rule_firings=None)
+    e.register_action("seen", heard.append)
+    e.assert_df("nation", table(spark, sf, "nation", "n_nationkey", "n_regionkey"))
+    return spark.createDataFrame([("seen", int(k)) for k in heard], "action string, k int")
+
+
+@query("SELECT 'added' AS what, 'lies' AS name, count(*) AS n FROM nation UNION ALL SELECT 'added', 'nation', count(*) FROM nation UNION ALL SELECT 'removed', 'nation', count(*) FROM nation")
+def store_hooks(spark, sf):
+    """Hooks hear of facts that are asserted, derived and removed by rules."""
+    heard: list = []
+    e = create_engine(spark, "nation(N) <=> lies(N);", max_rule_firings=None)
+    e.store.on_add.append(lambda f, df: heard.append(("added", f[0], df.count())))
+    e.store.on_remove.append(lambda f, df: heard.append(("removed", f[0], df.count())))
+    e.assert_df("nation", table(spark, sf, "nation", "n_nationkey"))
+    return spark.createDataFrame(heard, "what string, name string, n long")

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.functions.host import HostContext, settled
 from emberline.functions.scalar import ARITY, BUILTINS, Typed
 from emberline.operators.fixpoint import Evaluation
 from emberline.plans import analyzer, ast, sequential
@@ -30,22 +31,29 @@ class HostModule:
 
 @dataclass(frozen=True)
 class HostFunction:
-    """A function of rules. ``column`` builds a Column from Columns; ``python`` works on values, one firing at a time or, where there is no ``column``, in an Arrow-batched UDF that returns ``returns`` (null where it raises)."""
+    """A function of rules. ``column`` builds a Column from Columns; ``python`` works on values, one firing at a time or, where there is no ``column``, in an Arrow-batched UDF that returns ``returns`` (null where it raises).
+
+    ``context``: ``python`` gets a ``HostContext`` before the values; it then needs the engine, so it works one firing at a time. What it
+    returns may be awaitable, for which the engine's ``host_timeout`` holds.
+    """
 
     column: Callable | None = None
     python: Callable | None = None
     returns: str = "double"
     arity: int | None = None
+    context: bool = False
 
-    def typed(self) -> Callable:
+    def typed(self, timeout: float | None = None) -> Callable:
         kind = {"double": "number", "int": "number", "bigint": "number", "string": "string", "boolean": "boolean"}.get(self.returns, "other")
         if self.column:
             return lambda *args: Typed(self.column(*[a.column for a in args]), kind)
+        if self.context:
+            raise ExecutionError("a host function with a context is called one firing at a time only")
         function, returns = self.python, self.returns
 
         def safe(*values):
             try:
-                return function(*values)
+                return settled(function(*values), "", timeout)
             except Exception:
                 return None
 
@@ -90,21 +98,52 @@ class Expectation:
         return found if n is None else found == n
 
 
+class TypedEngine:
+    """Asserts facts whose names and argument types were given; all else is the engine's."""
+
+    def __init__(self, engine: Engine, types: dict[str, tuple]):
+        self.engine, self.types = engine, types
+
+    def __getattr__(self, name: str):
+        return getattr(self.engine, name)
+
+    def _check(self, name: str, args: tuple) -> None:
+        types = self.types.get(name)
+        if types is None:
+            raise ExecutionError(analyzer.unknown("constraint", name, self.types))
+        fits = len(types) == len(args) and all(v is None or isinstance(v, (int, float) if t is float else t) and (t is bool or not isinstance(v, bool)) for v, t in zip(args, types, strict=True))
+        if not fits:
+            raise ExecutionError(f"{name} takes ({', '.join(t.__name__ for t in types)}), not {tuple(args)!r}")
+
+    def assert_fact(self, name: str, args: list | tuple = ()) -> None:
+        self._check(name, tuple(args))
+        self.engine.assert_fact(name, args)
+
+    def assert_many(self, facts: list[tuple[str, tuple]]) -> int:
+        for name, args in facts:
+            self._check(name, tuple(args))
+        return self.engine.assert_many(facts)
+
+
 class Engine:
     """A program and its store.
 
     max_rule_firings: firings in one fixpoint before it counts as endless; None for none, which also keeps non-recursive
     programs lazy. distinct: facts as a set instead of a multiset, so recursion over cycles ends. sequential_limit: facts
-    that a program whose result depends on the order of single firings may have; more are refused.
+    that a program whose result depends on the order of single firings may have; more are refused. host_timeout: seconds that an
+    awaitable value of a host function may take; in a guard the call then fails, in a body the run.
     """
 
-    def __init__(self, spark: SparkSession, max_rule_firings: int | None = 10_000, strict: bool = False, distinct: bool = False, sequential_limit: int = 100_000, trace: bool = False, builtins: dict[str, HostFunction] | None = None):
+    def __init__(self, spark: SparkSession, max_rule_firings: int | None = 10_000, strict: bool = False, distinct: bool = False, sequential_limit: int = 100_000, trace: bool = False, builtins: dict[str, HostFunction] | None = None, host_timeout: float | None = None):
         self.spark, self.limit, self.strict, self.distinct, self.sequential_limit, self.trace_firings = spark, max_rule_firings, strict, distinct, sequential_limit, trace
+        self.host_timeout = host_timeout
         self.store = FactStore(spark)
         self.rules: list[ast.Rule] = []
         self.known = analyzer.Declarations()
         self.functions: dict[str, HostFunction] = dict(builtins or {})
         self.actions: dict[str, tuple[Callable, int | None]] = {}
+        self.table_actions: dict[str, Callable[[DataFrame], None]] = {}
+        self._machine: sequential.Machine | None = None
         self.modules: dict[str, HostModule] = {}
         self.warnings: list[str] = []
         self.state = "empty"
@@ -140,6 +179,7 @@ class Engine:
             self.actions |= {k: (f, None) for k, f in self.modules[name].actions.items()}
         for rule in program.rules:
             self.add_rule(rule)
+        self.warnings += analyzer.unused(program)
         self.state = "ready" if self.rules or self.state != "empty" else "empty"
 
     def add_rule(self, rule: ast.Rule) -> None:
@@ -185,13 +225,27 @@ class Engine:
 
     # host
 
-    def register_function(self, name: str, column: Callable | None = None, python: Callable | None = None, returns: str = "double", arity: int | None = None) -> None:
+    def register_function(self, name: str, column: Callable | None = None, python: Callable | None = None, returns: str = "double", arity: int | None = None, context: bool = False) -> None:
         if arity is not None and self.known.functions.get(name, arity) != arity:
             raise ExecutionError(f"{name} is declared with arity {self.known.functions[name]}")
-        self.functions[name] = HostFunction(column, python, returns, arity)
+        self.functions[name] = HostFunction(column, python, returns, arity, context)
 
-    def register_action(self, name: str, handler: Callable, arity: int | None = None) -> None:
-        self.actions[name] = (handler, arity)
+    def register_action(self, name: str, handler: Callable, arity: int | None = None, context: bool = False) -> None:
+        """``context``: the handler gets a ``HostContext`` before the arguments (of a set-at-a-time stratum it knows the engine only)."""
+        self.actions[name] = ((lambda *args: handler(self._context(), *args)) if context else handler, arity)
+
+    def register_table_action(self, name: str, handler: Callable[[DataFrame], None]) -> None:
+        """An action of set-at-a-time strata that gets all of a run's calls as one frame (args: array of JSON strings), where the rows are."""
+        self.table_actions[name] = handler
+        self.actions.setdefault(name, (lambda *args: None, None))
+
+    def _context(self) -> HostContext:
+        machine = self._machine
+        return HostContext(self, machine.at[0], getattr(machine, "matched", ()), dict(machine.at[2])) if machine else HostContext(self)
+
+    def with_constraints(self, **types: tuple) -> TypedEngine:
+        """A view of the engine that takes facts of these names and types only, such as edge=(int, str)."""
+        return TypedEngine(self, types)
 
     def register_host_module(self, module: HostModule) -> None:
         if module.name in self.modules:
@@ -237,7 +291,8 @@ class Engine:
         self.state = "running"
         try:
             strata = analyzer.strata(self.rules)
-            if any(s.kind == "D" for s in strata):
+            called = {c.name for r in self.rules for x in (*r.guards, *r.body) for c in ast.calls(x)}
+            if any(s.kind == "D" for s in strata) or any(f.context and n in called for n, f in self.functions.items()):
                 self._sequential()
             elif self._fed and len(strata) > 1:
                 self._remembered()
@@ -259,10 +314,10 @@ class Engine:
             self._machine_history.add(r["rule"], r["ids"])
 
     def _sets(self, strata: list[analyzer.Stratum], fresh: dict | None = None) -> None:
-        functions = {**BUILTINS, **{k: f.typed() for k, f in self.functions.items()}}
+        functions = {**BUILTINS, **{k: f.typed(self.host_timeout) for k, f in self.functions.items() if not f.context}}
         run = Evaluation(self.store, functions, self.limit, self.distinct, self.trace_firings)
         for s in strata:
-            if fresh is None or s.kind == "C":
+            if fresh is None or s.kind in "CU":
                 run.run(s)
             elif s.kind == "A":
                 run.semi_naive(list(s.rules), fresh)
@@ -277,11 +332,14 @@ class Engine:
             self._act(log)
 
     def _act(self, log: DataFrame) -> None:
-        """Actions that the set-at-a-time strata asked for, in the driver; a registered ``foreach_partition`` handler runs where the rows are."""
+        """Actions that the set-at-a-time strata asked for: table actions get them as a frame, other handlers hear of each in the driver."""
         import json
 
         names = {r["action"] for r in log.select("action").distinct().collect()}
-        for name in names & set(self.actions):
+        for name in sorted(names & set(self.actions)):
+            if name in self.table_actions:
+                self.table_actions[name](log.filter(F.col("action") == name).select("args"))
+                continue
             handler, _ = self.actions[name]
             for row in log.filter(F.col("action") == name).toLocalIterator():
                 handler(*[json.loads(a).get("v") for a in row["args"]])
@@ -301,9 +359,11 @@ class Engine:
             frames[functor] = rows
             if sum(map(len, frames.values())) > self.sequential_limit:
                 raise ExecutionError(f"This program depends on the order of single firings, which is evaluated for at most {self.sequential_limit} facts:\n{self.explain()}")
-        python = {k: f.python for k, f in self.functions.items() if f.python}
-        machine = sequential.Machine(analyzer.scheduled(self.rules), python, {k: f for k, (f, _) in self.actions.items()}, self.limit, lambda r, ids, env: self._heard(Fired(r.name, r.kind, r.priority, ids, env, at=time.time())))
+        called = lambda f: (lambda *args: f.python(self._context(), *args)) if f.context else f.python
+        python = {k: called(f) for k, f in self.functions.items() if f.python}
+        machine = sequential.Machine(analyzer.scheduled(self.rules), python, {k: f for k, (f, _) in self.actions.items()}, self.limit, lambda r, ids, env: self._heard(Fired(r.name, r.kind, r.priority, ids, env, at=time.time())), self.host_timeout)
         machine.history = self._machine_history
+        self._machine = machine
         for (name, _), rows in frames.items():
             for r in rows:
                 machine.add(name, tuple(r)[1:], r["cid"])
@@ -313,6 +373,7 @@ class Engine:
             machine.run()
         except RuleError as e:
             error = e
+        self._machine = None
         old, self._machine_history = self.store.frames, machine.history
         self.store.frames = {}
         for functor, facts in machine.by_functor.items():

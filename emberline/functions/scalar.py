@@ -159,7 +159,10 @@ def compiled(x, names: dict[str, Typed], functions: dict[str, Callable]) -> Type
     if isinstance(x, ast.Call):
         if x.name not in functions:
             raise ExecutionError(f"Unknown function {x.name}")
-        out = functions[x.name](*[compiled(a, names, functions) for a in x.args])
+        if x.name == "lookupOne" and all(isinstance(a, ast.Lit) for a in x.args):
+            out = functions[x.name](*[a.value for a in x.args])  # a value of the store as it is
+        else:
+            out = functions[x.name](*[compiled(a, names, functions) for a in x.args])
         if out is None:
             raise Raises(x.name)
         return out if isinstance(out, Typed) else Typed(out, "number")

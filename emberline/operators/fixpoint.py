@@ -3,6 +3,7 @@
 A: propagations; semi-naive rounds if they are recursive, else one lazy pass in the order of dependence.
 B: rules of one head; each fact meets the rules once, in the order of the schedule.
 C: removing rules that amount to an aggregate (see ``idioms``).
+U: a rule that replaces each fact of its head by another.
 """
 
 from __future__ import annotations
@@ -13,22 +14,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.scalar import guard
+from emberline.functions.scalar import Raises, guard, literal
 from emberline.operators import idioms
 from emberline.plans import ast
 from emberline.plans.analyzer import Stratum
-from emberline.plans.compiler import Matches, effects, emitted, joined, once_per_set, scan
+from emberline.plans.compiler import Matches, effects, emitted, facts, joined, once_per_set, one_way, scan
 from emberline.plans.errors import ExecutionError
 from emberline.plans.sequential import LIMIT
-from emberline.sources.store import FactStore, checkpointed, together
+from emberline.sources.store import SPAN, FactStore, checkpointed, together
 
 
 class Evaluation:
     """One run over a store. ``limit`` bounds firings (None: unbounded, and non-recursive strata stay lazy)."""
 
     def __init__(self, store: FactStore, functions: dict[str, Callable], limit: int | None = None, distinct: bool = False, trace: bool = False):
-        self.store, self.functions, self.limit, self.distinct, self.trace = store, functions, limit, distinct, trace
+        self.store, self.limit, self.distinct, self.trace = store, limit, distinct, trace
+        self.functions = {"lookupOne": self.first_value} | functions
         self.firings, self.effects, self.history, self.counts = 0, [], [], []
+        self.lazy: set = set()
+
+    def first_value(self, name: str, i: float):
+        """One argument of the first fact of a name: one aggregate, whose one value becomes a literal."""
+        try:
+            return literal(self.store.lookup_one(name, int(i)))
+        except LookupError as e:
+            raise Raises(str(e)) from e
 
     def count(self, rule: ast.Rule, matches: DataFrame) -> DataFrame:
         """Counts the firings where a limit or a trace asks for it."""
@@ -43,13 +53,22 @@ class Evaluation:
         return matches
 
     def numbered(self, df: DataFrame) -> DataFrame:
-        """New facts get ids above all that exist."""
-        base = self.store.next_id
-        self.store.next_id += 1 << 40
+        """New facts get ids above all that exist. Where ids are compared, the facts are written first (see ``compared``)."""
+        base = self.store.reserve(SPAN)
         return df.select((F.monotonically_increasing_id() + F.lit(base)).alias("cid"), *df.columns)
 
-    def matched(self, rule: ast.Rule, frames: list[DataFrame]) -> Matches:
-        m = once_per_set(rule.heads, joined(rule.heads, frames, rule.guards, self.functions))
+    def compared(self, rule: ast.Rule) -> None:
+        """Before the ids of a rule's heads are compared, facts that were derived lazily are written, so that their ids stay."""
+        functors = [h.functor for h in rule.heads]
+        for f in set(functors):
+            if self.store.frame(f) is not None and f in self.lazy and (len(set(functors)) < len(functors) or rule.removed):
+                self.store.put(f, checkpointed(self.store.frame(f)))
+                self.lazy.discard(f)
+
+    def matched(self, rule: ast.Rule) -> Matches:
+        self.compared(rule)
+        frames = [self.store.frame(h.functor) for h in rule.heads]
+        m = once_per_set(rule, joined(rule.heads, frames, rule.guards, self.functions, one_way(rule)))
         m = Matches(self.count(rule, m.frame), m.names)
         self.effects += effects(rule, m, self.functions)
         if self.trace:
@@ -57,7 +76,7 @@ class Evaluation:
         return m
 
     def run(self, stratum: Stratum) -> None:
-        {"A": self.propagate, "B": self.pipeline, "C": self.aggregate}[stratum.kind](stratum)
+        {"A": self.propagate, "B": self.pipeline, "C": self.aggregate, "U": self.replace}[stratum.kind](stratum)
 
     # A
 
@@ -66,10 +85,9 @@ class Evaluation:
         if self.distinct or not self.in_order(rules):
             return self.semi_naive(rules)
         for rule in self.in_order(rules):
-            frames = [self.store.frame(h.functor) for h in rule.heads]
-            if any(f is None for f in frames):
+            if any(self.store.frame(h.functor) is None for h in rule.heads):
                 continue
-            for functor, new in emitted(rule, self.matched(rule, frames), self.functions):
+            for functor, new in emitted(rule, self.matched(rule), self.functions):
                 self.append(functor, self.numbered(new))
 
     @staticmethod
@@ -87,6 +105,7 @@ class Evaluation:
     def append(self, functor, new: DataFrame) -> None:
         derived_twice = self.store.frame(functor)
         self.store.put(functor, new if derived_twice is None else together([derived_twice, new]))
+        self.lazy.add(functor)
         for hook in self.store.on_add:
             hook(functor, new)
 
@@ -118,7 +137,7 @@ class Evaluation:
                 frame = ms[0].frame
                 for m in ms[1:]:
                     frame = frame.unionByName(m.frame)
-                m = once_per_set(rule.heads, Matches(frame, ms[0].names))
+                m = once_per_set(rule, Matches(frame, ms[0].names), rounds=True)
                 m = Matches(self.count(rule, m.frame), m.names)
                 self.effects += effects(rule, m, self.functions)
                 if self.trace:
@@ -138,6 +157,7 @@ class Evaluation:
                             condition = test if condition is None else condition & test
                         facts = facts.join(known, condition if condition is not None else F.lit(True), "left_anti")
                 facts = checkpointed(self.numbered(facts))
+                self.store.taken(facts)
                 if not facts.isEmpty():
                     new[functor] = facts
                     everything[functor] = together([everything[functor], facts]) if functor in everything else facts
@@ -195,6 +215,7 @@ class Evaluation:
         todo.clear()
         for f, parts in coming.items():
             new = checkpointed(self.numbered(together(parts)))
+            self.store.taken(new)
             if new.isEmpty():
                 continue
             if f in by_functor:
@@ -237,6 +258,8 @@ class Evaluation:
         for f in removing:
             gone = gone | F.col(f)
         left = marked.filter(~gone).select(*df.columns)
+        if removing:
+            self.went(rules[0].heads[0].functor, lambda: marked.filter(gone).select(*df.columns))
         out = []
         for f, rule in zip(flags, names_of, strict=True):
             m = scan(rule.heads[0], marked.filter(F.col(f)).select(*df.columns), 0)
@@ -262,14 +285,56 @@ class Evaluation:
         test = guard(rule.guards, names, self.functions)
         return out if test is None else out & test
 
+    def went(self, functor, removed: Callable[[], DataFrame]) -> None:
+        """Tells the hooks of facts that rules removed."""
+        for hook in self.store.on_remove:
+            hook(functor, removed())
+
+    # U
+
+    def replace(self, stratum: Stratum) -> None:
+        """All facts that match go; for each different one of them (equal facts are replaced together) a new one comes. A fact with a NaN equals none, itself included, and stays beside its new one."""
+        rule = stratum.rules[0]
+        head, new = rule.heads[0], rule.body[0].new
+        df = self.store.frame(head.functor)
+        if df is None:
+            return
+        if head.functor in self.lazy:
+            df = checkpointed(df)
+            self.lazy.discard(head.functor)
+        args = [c for c in df.columns if c != "cid"]
+        match = self.fits(head, rule, df)
+        nan = F.lit(False)
+        for f in df.schema:
+            if f.name in args and f.dataType.typeName() in ("double", "float"):
+                nan = nan | F.coalesce(F.isnan(f.name), F.lit(False))
+        once = df.filter(match).groupBy(*args, F.when(nan, F.col("cid")).alias("_nan")).agg(F.min("cid").alias("cid")).select("cid", *args)
+        m = scan(head, once, 0)
+        m = Matches(self.count(rule, m.frame), m.names)
+        if self.trace:
+            self.history.append(m.frame.select(F.lit(rule.name).alias("rule"), F.array("c0").alias("ids")))
+        came = self.numbered(facts(new, m.frame, m.names, self.functions))
+        self.went(head.functor, lambda: df.filter(match & ~nan))
+        self.store.put(head.functor, df.filter(~match | nan))
+        self.append(new.functor, came)
+
     # C
 
     def aggregate(self, stratum: Stratum) -> None:
         rule = stratum.rules[0]
         a, b = rule.heads
+        self.compared(rule)
         if self.store.frame(a.functor) is None or self.store.frame(b.functor) is None:
             return
         df = self.store.frame(a.functor)
+        before = {f: self.store.frame(f) for f in (a.functor, b.functor)}
+        self.aggregated(stratum, rule, df)
+        for f, was in before.items() if self.store.on_remove else ():
+            now = self.store.frame(f)
+            self.went(f, lambda was=was, now=now: was.join(now.select("cid"), "cid", "left_anti"))
+
+    def aggregated(self, stratum: Stratum, rule: ast.Rule, df: DataFrame) -> None:
+        a, b = rule.heads
         if stratum.idiom == "keep_first":
             self.store.put(a.functor, idioms.keep_first(df))
         elif stratum.idiom in ("least", "greatest"):

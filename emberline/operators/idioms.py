@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions.scalar import guard, strictly_equal
 from emberline.plans import ast
 from emberline.plans.compiler import Matches, joined, scan
 
@@ -40,13 +41,31 @@ def fold(df: DataFrame, how: str) -> DataFrame:
     return out.filter("cid is not null").select("cid", *keys, F.col("v").alias(value))
 
 
+def ranked(m: Matches, i: int, keys: list[str]) -> DataFrame:
+    """The matches of one head with n{i}, their place among those of equal keys by id.
+
+    Places are counted within runs of ids first (a frame numbers its rows by partition), so that no task sorts all facts of
+    a hot key, or all facts where there are no keys; the runs before a run add their sizes.
+    """
+    by = [m.names[k].column for k in keys]
+    run = F.shiftrightunsigned(F.col(f"c{i}"), 33)
+    named = [c.alias(f"_k{j}") for j, c in enumerate(by)]
+    sizes = m.frame.groupBy(*named, run.alias("_run")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*[f"_k{j}" for j in range(len(by))]).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[f"_k{j}" for j in range(len(by))], "_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = m.frame.withColumn("_r", run).withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_r").orderBy(f"c{i}")))
+    condition = F.col("_r") == F.col("_run")
+    for j, c in enumerate(by):
+        condition = condition & c.eqNullSafe(F.col(f"_k{j}"))
+    return placed.join(before, condition).select(*m.frame.columns, (F.col("_place") + F.col("_before")).alias(f"n{i}"))
+
+
 def pair(rule: ast.Rule, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Matches]:
     """``a(K), b(K) <=> p(K)``: the n-th a of a key meets its n-th b. Returns what is left of a and b, and the pairs."""
     one, two = rule.heads
     left, right = scan(one, a, 0), scan(two, b, 1)
     keys = [n for n in left.names if n in right.names]
-    place = lambda m, i: m.frame.withColumn(f"n{i}", F.row_number().over(Window.partitionBy(*[m.names[k].column for k in keys]).orderBy(f"c{i}")))
-    x, y = place(left, 0), place(right, 1)
+    x, y = ranked(left, 0, keys), ranked(right, 1, keys)
     condition = F.col("n0") == F.col("n1")
     for k in keys:
         condition = condition & left.names[k].column.eqNullSafe(right.names[k].column)
@@ -56,7 +75,28 @@ def pair(rule: ast.Rule, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def consume(rule: ast.Rule, kept: DataFrame, removed: DataFrame, functions: dict[str, Callable]) -> tuple[Matches, DataFrame]:
-    """``k(X) \\ r(X) <=> body``: every r that a k matches goes, with the first such k. Returns the matches and what is left of r."""
+    """``k(X) \\ r(X) <=> body``: every r that a k matches goes, with the first such k. Returns the matches and what is left of r.
+
+    Where no guard compares a variable of k alone with one of r alone, the first k of each key is all that can match, so
+    k is reduced to it before the join, which then gives each r one row at most.
+    """
+    k, r = (scan(h, df, i) for i, (h, df) in enumerate(zip(rule.heads, (kept, removed), strict=True)))
+    shared = [n for n in k.names if n in r.names]
+    own = lambda g: set(ast.variables(g)) <= set(k.names)
+    if all(own(g) or set(ast.variables(g)) <= set(r.names) for g in rule.guards):
+        test = guard(tuple(g for g in rule.guards if own(g)), k.names, functions)
+        able = k.frame if test is None else k.frame.filter(test)
+        by, rest = [k.names[n].column for n in shared], [c for c in k.frame.columns if c != "c0"]
+        first = F.min(F.struct("c0", *[F.struct(F.col(c).alias("v")).alias(c) for c in rest])).alias("m")
+        least = able.groupBy(*[c.alias(f"_k{j}") for j, c in enumerate(by)]).agg(first).filter("m is not null").select(F.col("m.c0").alias("c0"), *[F.col(f"m.{c}.v").alias(c) for c in rest])
+        condition = None
+        for n in shared:
+            same = strictly_equal(k.names[n], r.names[n])
+            condition = same if condition is None else condition & same
+        test = guard(tuple(g for g in rule.guards if not own(g)), r.names, functions)
+        able = r.frame if test is None else r.frame.filter(test)
+        found = able.crossJoin(F.broadcast(least)) if condition is None else able.join(least, condition)  # one row without a key
+        return Matches(found, r.names | k.names), removed.join(found.select(F.col("c1").alias("cid")), "cid", "left_anti")
     m = joined(rule.heads, [kept, removed], rule.guards, functions)
     rest = [c for c in m.frame.columns if c not in ("c0", "c1")]
     first = F.min(F.struct("c0", *[F.struct(F.col(c).alias("v")).alias(c) for c in rest])).alias("m")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.scalar import Typed, compiled, guard, kind_of, literal, strictly_equal
 from emberline.plans import ast
+from emberline.plans.analyzer import ordered
 from emberline.plans.errors import ExecutionError
 
 
@@ -49,8 +50,8 @@ def scan(head: ast.Atom, df: DataFrame, i: int) -> Matches:
     return Matches(frame, names)
 
 
-def joined(heads: tuple[ast.Atom, ...], frames: list[DataFrame], guards: tuple = (), functions: dict[str, Callable] | None = None) -> Matches:
-    """All matches of the heads over these frames that pass the guards.
+def joined(heads: tuple[ast.Atom, ...], frames: list[DataFrame], guards: tuple = (), functions: dict[str, Callable] | None = None, ascending: bool = False) -> Matches:
+    """All matches of the heads over these frames that pass the guards; ``ascending``: only those whose ids ascend.
 
     Shared variables are null-safe equi-keys; a fact fills one head of a match. Guards go on top, from where the optimizer
     moves them into scans and joins; ``B === A + 1`` so becomes an equi-key.
@@ -64,7 +65,7 @@ def joined(heads: tuple[ast.Atom, ...], frames: list[DataFrame], guards: tuple =
             condition = test if condition is None else condition & test
         for j in range(i):
             if heads[j].functor == heads[i].functor:
-                test = F.col(f"c{j}") != F.col(f"c{i}")
+                test = F.col(f"c{j}") < F.col(f"c{i}") if ascending else F.col(f"c{j}") != F.col(f"c{i}")
                 condition = test if condition is None else condition & test
         frame = out.frame.crossJoin(right.frame) if condition is None else out.frame.join(right.frame, condition)
         out = Matches(frame, right.names | out.names)
@@ -72,10 +73,52 @@ def joined(heads: tuple[ast.Atom, ...], frames: list[DataFrame], guards: tuple =
     return Matches(out.frame if test is None else out.frame.filter(test), out.names)
 
 
-def once_per_set(heads: tuple[ast.Atom, ...], m: Matches) -> Matches:
-    """Of the matches of one set of facts the least, if heads share a functor; one aggregate on the sorted ids."""
+def renamed(x, names: dict[str, str]):
+    """An expression with other names of variables, the sides of symmetric operators in a fixed order."""
+    if isinstance(x, ast.Var):
+        return ast.Var(names.get(x.name, x.name))
+    if isinstance(x, ast.Call):
+        return ast.Call(x.name, tuple(renamed(a, names) for a in x.args))
+    if isinstance(x, ast.Array):
+        return ast.Array(tuple(renamed(a, names) for a in x.items))
+    if isinstance(x, ast.Unary):
+        return ast.Unary(x.op, renamed(x.arg, names))
+    if isinstance(x, ast.Binary):
+        left, right = renamed(x.left, names), renamed(x.right, names)
+        if x.op in ("===", "!==", "&&", "||", "+", "*") and repr(right) < repr(left):
+            left, right = right, left
+        return ast.Binary(x.op, left, right)
+    return x
+
+
+def one_way(rule: ast.Rule) -> bool:
+    """Whether two heads over one functor can change places: then every set of facts matches both ways, and the ascending one is the first."""
+    if len(rule.heads) != 2 or rule.heads[0].functor != rule.heads[1].functor or len({bool(rule.kept), bool(rule.removed)}) == 1:
+        return False
+    one, two = (h.args for h in rule.heads)
+    swap: dict[str, str] = {}
+    for x, y in zip(one, two, strict=True):
+        if isinstance(x, ast.Lit) or isinstance(y, ast.Lit):
+            if x != y:
+                return False
+        elif x.wild or y.wild:
+            if x.wild != y.wild:
+                return False
+        elif swap.setdefault(x.name, y.name) != y.name or swap.setdefault(y.name, x.name) != x.name:
+            return False
+    plain = sorted(repr(renamed(g, {})) for g in rule.guards)
+    return plain == sorted(repr(renamed(g, swap)) for g in rule.guards)
+
+
+def once_per_set(rule: ast.Rule, m: Matches, rounds: bool = False) -> Matches:
+    """Of the matches of one set of facts the least, if heads share a functor; one aggregate on the sorted ids.
+
+    No aggregate is needed where at most one order of a set matches, or where ``joined`` was asked for ascending ids
+    (not in ``rounds``, which join what is new at each head in turn).
+    """
+    heads = rule.heads
     functors = [h.functor for h in heads]
-    if len(set(functors)) == len(functors):
+    if len(set(functors)) == len(functors) or ordered(rule) or (one_way(rule) and not rounds):
         return m
     ids, rest = m.ids, [c for c in m.frame.columns if c not in m.ids]
     first = F.min(F.struct(*ids, *[F.struct(F.col(c).alias("v")).alias(c) for c in rest])).alias("m")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,14 +13,35 @@ from pyspark.sql import types as T
 Functor = tuple[str, int]
 
 
+def own_folder(master: str) -> str:
+    """A temporary folder, where the driver is the only machine."""
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="emberline-facts-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` in the shared folder of ``spark.checkpoint.dir`` (one of our own where that is unset)."""
+    """``df`` in the shared folder of ``spark.checkpoint.dir`` (one of our own where that is unset and all runs on one machine)."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="emberline-facts-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or own_folder(context.master))
     return df.checkpoint()
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` with ids that are the same whenever it is read.
+
+    Ids number the rows by partition, so a plan that deals rows anew (a shuffle, whose partitions may change from run to
+    run) is written to the shared folder first; files, rows of the driver and what is written already are taken as they are.
+    """
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return checkpointed(df) if DEALT.search(plan) else df
+
+
+#: Plans of which partitions or the order of rows may differ from run to run.
+DEALT = re.compile(r"(Aggregate|Join|Sort|Repartition\w*|RepartitionByExpression|Distinct|Deduplicate\w*|Sample|Window|GlobalLimit|LocalLimit|MapIn\w+|FlatMap\w+|Intersect|Except|RebalancePartitions)\b")
+
+
 def column_type(values: list) -> T.DataType:
     """One Spark type for the values of an argument; numbers are doubles."""
     kinds = {"number" if isinstance(v, (int, float)) and not isinstance(v, bool) else type(v).__name__ for v in values if v is not None}
@@ -50,6 +72,10 @@ def together(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Ids that a frame may take: rows are numbered within partitions of 2**33, so this leaves room for 2**17 partitions.
+SPAN = 1 << 50
+
+
 class FactStore:
     """The facts of an engine. Frames are replaced, never changed; ``on_add`` and ``on_remove`` hear of frames of (cid, a0, ...)."""
 
@@ -73,20 +99,36 @@ class FactStore:
     def add_frame(self, name: str, df: DataFrame, key: str | None = None) -> Functor:
         """The columns of ``df`` become arguments. ``key`` names a column of unique whole numbers that orders the facts; without it they are numbered."""
         columns = [c for c in df.columns if c != key]
+        df = df if key else stable(df)
         args = [F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(columns)]
-        cid = (F.col(f"`{key}`").cast("long") if key else F.monotonically_increasing_id()) + F.lit(self.next_id)
-        new = df.select(cid.alias("cid"), *args)
-        if key is None:
-            self.next_id += 1 << 40
+        if key:
+            cid = F.col(f"`{key}`").cast("long") + F.lit(self.next_id)
+            low, top = df.agg(F.min(f"`{key}`"), F.max(f"`{key}`")).first()
+            if low is not None and low < 0:
+                raise ValueError(f"{key} must not be negative")
+            self.reserve((top or 0) + 1)
         else:
-            top = new.agg(F.max("cid").alias("m")).first()["m"] if self.frames or self.on_add else None
-            self.next_id = (top or self.next_id + (1 << 40)) + 1
+            cid = F.monotonically_increasing_id() + F.lit(self.reserve(SPAN))
+        new = df.select(cid.alias("cid"), *args)
         functor = (name, len(columns))
         old = self.frames.get(functor)
         self.frames[functor] = new if old is None else together([old, new])
         self._note(functor, new)
         return functor
 
+    def reserve(self, n: int) -> int:
+        """The first of n ids that no fact has had."""
+        first = self.next_id
+        if first + n >= 1 << 63:
+            raise OverflowError("no ids are left; write the facts and start a new store")
+        self.next_id += n
+        return first
+
+    def taken(self, df: DataFrame) -> None:
+        """Gives back the ids that the last frame to reserve a span did not need."""
+        top = df.agg(F.max("cid").alias("m")).first()["m"]
+        self.next_id = self.next_id - SPAN if top is None else top + 1
+
     def _note(self, functor: Functor, new: DataFrame) -> None:
         self.fresh[functor] = together([self.fresh[functor], new]) if functor in self.fresh else new
         for hook in self.on_add:
@@ -100,8 +142,8 @@ class FactStore:
         types = [column_type([r[i] for r in rows]) for i in range(n)]
         schema = T.StructType([T.StructField("cid", T.LongType())] + [T.StructField(f"a{i}", t) for i, t in enumerate(types)])
         exact = lambda v, t: float(v) if isinstance(t, T.DoubleType) and v is not None else v
-        data = [(self.next_id + j, *[exact(v, t) for v, t in zip(r, types, strict=True)]) for j, r in enumerate(rows)]
-        self.next_id += len(rows)
+        first = self.reserve(len(rows))
+        data = [(first + j, *[exact(v, t) for v, t in zip(r, types, strict=True)]) for j, r in enumerate(rows)]
         new = self.spark.createDataFrame(data, schema)
         old = self.frames.get((name, n))
         self.frames[name, n] = new if old is None else together([old, new])

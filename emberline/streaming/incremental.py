@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.engine import Engine
 from emberline.plans import analyzer, ast
 from emberline.plans.errors import ExecutionError
-from emberline.sources.store import checkpointed
 
 
 def asserted(engine: Engine, stream: DataFrame, name: str, checkpoint: str, sink: Callable[[Engine, int], None] | None = None, key: str | None = None, once: bool = True) -> StreamingQuery:
     """Asserts each micro-batch of ``stream`` as facts ``name`` and runs the rules; ``sink`` then sees the engine.
 
-    once: take what is there and stop. A batch that is replayed after a failure (its number is known) is not asserted again.
+    once: take what is there and stop. Each batch's rows are written below ``checkpoint`` before they are asserted. After a restart,
+    batches of earlier runs are asserted from there first, so that the engine knows all facts that the stream's checkpoint
+    counts as done; ``sink`` does not see these again. A batch that is replayed (its number is known) is not asserted twice.
     """
-    seen: set[int] = set()
+    spark, seen = stream.sparkSession, set()
+    facts = f"{checkpoint.rstrip('/')}/facts"
+
+    def asserted_from(number: int) -> None:
+        engine.assert_df(name, spark.read.parquet(f"{facts}/{number}"), key)
+        seen.add(number)
+
+    for number in written(spark, facts):
+        asserted_from(number)
 
     def batch(df: DataFrame, number: int) -> None:
         if number in seen:
             return
-        engine.assert_df(name, checkpointed(df), key)
-        seen.add(number)
+        df.write.mode("overwrite").parquet(f"{facts}/{number}")
+        asserted_from(number)
         if sink:
             sink(engine, number)
 
@@ -33,6 +42,16 @@ def asserted(engine: Engine, stream: DataFrame, name: str, checkpoint: str, sink
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def written(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the batches that were written to the end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [f.getPath() for f in files.listStatus(path)]
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def stateless(engine: Engine, stream: DataFrame, name: str) -> dict[tuple[str, int], DataFrame]:
     """The facts that propagations of one head derive from a stream, as streams: filters and projections only, so no state."""
     from emberline.functions.scalar import BUILTINS

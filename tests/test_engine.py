@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from emberline.engine import create_engine
+from emberline.engine import HostFunction, create_engine
 from emberline.plans import analyzer
 from emberline.plans.errors import ExecutionError
 from emberline.plans.parser import parse_program
@@ -124,3 +124,127 @@ def test_batches(spark, source):
         m.run()
     for f, want in m.by_functor.items():
         assert rows(engine, *f) == sorted((tuple(map(float, r)) for r in want.values()), key=repr), f
+
+
+def test_ids_of_300_partitions(spark):
+    """Ids of frames of many partitions never meet, so self-joins, pairs, consuming and keep-first lose and remove nothing else."""
+    numbers = lambda a, b: spark.range(a, b).selectExpr("double(id) AS x").repartition(300)
+    e = create_engine(spark, "a(X), a(Y) ==> X < Y | s(X, Y);", max_rule_firings=None)
+    e.assert_df("a", numbers(0, 60), run=False)
+    e.assert_df("a", numbers(60, 120), run=False)
+    e.run()
+    assert e.facts("a", 1).agg({"cid": "count"}).first()[0] == e.facts("a", 1).select("cid").distinct().count() == 120
+    assert e.facts("s", 2).count() == e.facts("s", 2).distinct().count() == 120 * 119 // 2
+    e = create_engine(spark, "a(X), b(X) <=> c(X);", max_rule_firings=None)
+    e.assert_df("a", numbers(0, 600), run=False)
+    e.assert_df("b", numbers(599, 1200), run=False)
+    e.run()
+    assert [e.facts(*f).count() for f in (("a", 1), ("b", 1), ("c", 1))] == [599, 600, 1]
+    e = create_engine(spark, "k(X) \\ r(X) <=> gone(X); gone(X) \\ gone(X) <=> true;", max_rule_firings=None)
+    e.assert_df("k", numbers(0, 50), run=False)
+    e.assert_df("r", numbers(25, 75), run=False)
+    e.assert_df("r", numbers(25, 30), run=False)
+    e.run()
+    assert [e.facts(*f).count() for f in (("k", 1), ("r", 1), ("gone", 1))] == [50, 25, 25]
+
+
+@pytest.mark.parametrize("rule", ["a(X), a(Y) ==> s(X, Y)", "a(X), a(Y) ==> X === Y | s(X, Y)", "a(X), a(Y) ==> X !== Y | s(X, Y)", "a(X), a(Y) ==> X + Y > 7 | s(X, Y)", "a(X), a(Y) ==> X * 2 > Y | s(X, Y)", "a(X), a(3) ==> s(X, 3)", "a(X), a(X) ==> s(X, X)"])
+def test_symmetric_heads_as_the_machine(spark, rule):
+    facts = [("a", (float(x),)) for x in (5, 1, 3, 3, 8, 2)]
+    e = create_engine(spark, rule + ";", max_rule_firings=None)
+    e.store.add_rows("a", [a for _, a in facts])
+    e.run()
+    assert sorted(tuple(r)[1:] for r in e.facts("s", 2).collect()) == sorted(machine(rule + ";", facts).get(("s", 2), []))
+
+
+@pytest.mark.parametrize("source", ["a(X), b(Y) <=> p(X, Y);", "a(X), b(X) <=> p(X, X);", "a(X) \\ b(Y) <=> p(X, Y);", "a(X) \\ b(X) <=> p(X, X);", "a(X) \\ b(Y) <=> X > 2 | p(X, Y);", "a(X) \\ b(Y) <=> X > 2, Y < 4 | p(X, Y);", "a(X) \\ b(Y) <=> X > Y | p(X, Y);"])
+def test_removing_pairs_as_the_machine(spark, source):
+    facts = [("a", (float(x),)) for x in (1, 3, 3, 8)] + [("b", (float(x),)) for x in (3, 4, 3, 3, 1)]
+    e = create_engine(spark, source, max_rule_firings=None)
+    for name in "ab":
+        e.assert_df(name, spark.createDataFrame([a for n, a in facts if n == name], "x double").coalesce(1), run=False)
+    e.run()
+    assert {s.kind for s in analyzer.strata(e.rules)} == {"C"}
+    assert sorted((n, *tuple(r)[1:]) for n, k in (("a", 1), ("b", 1), ("p", 2)) for r in e.facts(n, k).collect()) == sorted((n, *args) for (n, _), found in machine(source, facts).items() for args in found)
+
+
+def test_replacing_rule_as_the_machine(spark):
+    facts = [("o", (1.0, "a")), ("o", (2.0, "a")), ("o", (1.0, "a")), ("o", (3.0, "b")), ("o", (9.0, "a"))]
+    source = "r @ o(K, 'a') ==> K < 5 | o(K, 'a') <= o(K + 1, 'b');"
+    e = create_engine(spark, source)
+    assert analyzer.strata(e.rules)[0].kind == "U"
+    e.store.add_rows("o", [a for _, a in facts])
+    e.run()
+    assert sorted(tuple(r)[1:] for r in e.facts("o", 2).collect()) == sorted(machine(source, facts)["o", 2])
+    assert analyzer.strata(create_engine(spark, "o(K, S) ==> o(K, S) <= o(K, 'b');").rules)[0].kind == "D"
+
+
+def test_lookup_one_over_frames(spark):
+    source = "part(K) ==> K > lookupOne('low', 0) | out(K, lookupOne('low', 1)); part(K) ==> lookupOne('none', 0) | never(K);"
+    e = create_engine(spark, source, max_rule_firings=None)
+    assert {s.kind for s in analyzer.strata(e.rules)} == {"A"}
+    e.assert_df("low", spark.createDataFrame([(2.0, "x"), (9.0, "y")], "a double, b string").coalesce(1), run=False)
+    e.assert_df("part", spark.createDataFrame([(float(i),) for i in range(5)], "k double"), run=False)
+    e.run()
+    assert sorted(tuple(r)[1:] for r in e.facts("out", 2).collect()) == [(3.0, "x"), (4.0, "x")] and e.facts("never", 1).count() == 0
+    changing = create_engine(spark, "part(K) ==> out(lookupOne('out', 0));")
+    assert analyzer.strata(changing.rules)[0].kind == "D"
+
+
+def test_awaitable_values_and_timeout(spark):
+    import asyncio
+
+    async def slow(x):
+        await asyncio.sleep(5 if x > 1 else 0)
+        return True
+
+    e = create_engine(spark, "a(X) ==> slow(X) | b(X);", host_timeout=0.2, max_rule_firings=100)
+    e.register_function("slow", python=slow, returns="boolean")
+    e.assert_many([("a", (1,)), ("a", (2,))])
+    assert rows(e, "b", 1) == [(1.0,)]
+    e = create_engine(spark, "a(X) <=> b(slow(X)); b(X), c(X) ==> d(lookup('b'));", host_timeout=0.2)
+    e.register_function("slow", python=slow, returns="boolean")
+    with pytest.raises(ExecutionError, match="took more than"):
+        e.assert_fact("a", [2])
+    assert e.get_state() == "error"
+
+
+def test_context_of_functions_and_actions(spark):
+    heard = []
+    e = create_engine(spark, "r @ a(X) ==> known(X) > 0 | b(X), !tell(X);")
+    e.register_function("known", python=lambda c, x: len(c.rule.heads) + c.bindings["X"], context=True)
+    e.register_action("tell", lambda c, x: heard.append((c.engine is e, c.rule.name, c.bindings, [m[1] for m in c.matched], x)), context=True)
+    e.assert_fact("a", [1])
+    assert heard == [(True, "r", {"X": 1.0}, ["a"], 1.0)] and rows(e, "b", 1) == [(1.0,)]
+    frames = []
+    e = create_engine(spark, "a(X) ==> !log(X);", max_rule_firings=None)
+    e.register_table_action("log", lambda df: frames.append(sorted(r.args for r in df.collect())))
+    e.assert_many([("a", (1,)), ("a", (2,))])
+    assert frames == [[['{"v":1.0}'], ['{"v":2.0}']]]
+
+
+def test_typed_view_warnings_and_helpers(spark, tmp_path):
+    from emberline.functions import host
+
+    e = create_engine(spark, "functions f/1, g/1; actions h/0; a(X), b(X) ==> f(X) > 1 | c(1);", builtins={"f": HostFunction(column=lambda x: x), "g": HostFunction(column=lambda x: x)})
+    assert any("g is declared and never used" in w for w in e.get_warnings()) and any("h is declared" in w for w in e.get_warnings()) and not any(" f is" in w for w in e.get_warnings())
+    assert any("X stands in more than one place" in w for w in e.get_warnings())
+    typed = create_engine(spark, "edge(X, Y) ==> path(X, Y);").with_constraints(edge=(int, str))
+    typed.assert_many([("edge", (1, "a"))])
+    assert typed.expect("path", (1, "a")).exists()
+    for bad in (("edge", (1, 2)), ("edge", (1,)), ("edges", (1, "a")), ("edge", (True, "a"))):
+        with pytest.raises(ExecutionError):
+            typed.assert_fact(*bad)
+    assert host.numeric(2) == 2 and host.compare(1, 2, lambda a, b: a < b) and host.evaluate_binary("/", 1, 0) == float("inf") and host.evaluate_binary("in", 1, [1.0]) and not host.evaluate_binary("&&", "", 1)
+    for wrong in (lambda: host.numeric("1"), lambda: host.evaluate_binary("<", "a", 1), lambda: host.evaluate_binary("%", 1, 1)):
+        with pytest.raises(ExecutionError):
+            wrong()
+    assert host.create_functor("a", 2) == "a/2" and host.create_constraint(3, "a", [1]) == (3, "a", (1,))
+    (tmp_path / "rules").write_text("a(X) ==> b(X);")
+    loaded = create_engine(spark)
+    loaded.load(str(tmp_path / "rules"))
+    loaded.assert_fact("a", ["x"])
+    assert loaded.facts("b", 1).count() == 1
+    loaded.store.write_parquet(str(tmp_path / "store"))
+    again = type(loaded.store).read_parquet(spark, str(tmp_path / "store"), [("a", 1), ("b", 1)])
+    assert again.size() == 2 and again.next_id > max(r.cid for r in again.snapshot().collect()) and len(again.to_json()) == 2
