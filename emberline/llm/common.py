@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 import emberline
 
@@ -39,15 +41,24 @@ def opened(broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
+def whole_numbers(docs: DataFrame, id_col: str) -> None:
+    """Raise a TypeError unless the ids are whole numbers."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind.simpleString()}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; one of our own only where that is unset and all runs on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="emberline-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -59,17 +70,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet, and read again."""
+    """``df`` written to the shared folder as Parquet, and read again; it is deleted when the driver ends."""
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
 
 
-def chunk_count(docs: DataFrame, chunk_bytes: int = 1 << 21) -> int:
-    """Groups to deal ``docs`` into so that each holds about ``chunk_bytes`` of stored input; grows with the input."""
-    parts = shuffle_partitions(docs.sparkSession)
+def group_count(docs: DataFrame, least: int, size_each: int) -> int:
+    """Groups to deal ``docs`` into, ``least`` or as many as have about ``size_each`` bytes of stored input; grows with the input."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(4 * parts, -(-size // chunk_bytes)) if size < 1 << 50 else 4 * parts
+    return max(least, -(-size // size_each)) if size < 1 << 50 else least  # beyond that the size is not known
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,7 +96,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
-BYTE_BASE, WORD_BASE = 0xA3B195354A39B70D, 0xC2B2AE3D27D4EB4F
+WORD_BASE = 0xC2B2AE3D27D4EB4F
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,11 +138,22 @@ class Words:
         """For each word, the number of its text."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        up, down = powers(BYTE_BASE, len(self.buf) + 1)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(BYTE_HASH[self.buf] * up[:-1], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word: eight bytes at a time are mixed with their place, and the sum with the length.
+
+        Different seeds give independent hashes.
+        """
+        n = len(self.starts)
+        size = self.ends - self.starts
+        lanes = (size + 7) >> 3
+        ends = np.cumsum(lanes)
+        begin = ends - lanes
+        padded = np.zeros((int(ends[-1]) if n else 0) * 8, np.uint8)
+        inside = ~SPACE[self.buf]
+        padded[np.arange(int(size.sum())) + np.repeat(begin * 8 - (np.cumsum(size) - size), size)] = self.buf[inside]
+        key = mix(np.arange(1, (int(lanes.max()) if n else 0) + 1, dtype=np.uint64) * np.uint64(GOLDEN) + mix(np.array([seed + 1], np.uint64))[0])
+        mixed = mix(padded.view("<u8") ^ key[np.arange(len(padded) >> 3) - np.repeat(begin, lanes)])
+        return mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64) * np.uint64(GOLDEN)) if n else np.zeros(0, np.uint64)
 
     def array(self) -> pa.Array:
         """All words as one binary array."""
@@ -169,6 +193,20 @@ def single(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def others(df: DataFrame, *taken: str) -> list[str]:
+    """The columns of ``df`` but for those of these names, which Spark does not tell apart by case."""
+    low = {c.lower() for c in taken}
+    return [c for c in df.columns if c.lower() not in low]
+
+
 def with_columns(docs: DataFrame, added: dict) -> DataFrame:
-    """``docs`` with the operator's columns; they replace columns of the same name."""
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    """``docs`` with the operator's columns; they replace columns of the same name in whatever case."""
+    return docs.select(*[F.col(f"`{c}`") for c in others(docs, *added)], *[v.alias(k) for k, v in added.items()])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

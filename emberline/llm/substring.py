@@ -7,12 +7,15 @@
    of equal windows the first, by document and place, stays, and all others are repeats. Overlapping repeated windows
    join into maximal repeats, which are what is removed.
 
-Whatever is shared by many documents costs one row of a packet for each occurrence; no pairs are formed. Documents travel
-in chunks dealt by a hash of their id, of which the text's exchange is used three times. Windows are told apart by 64 bits
-of hash besides those that choose the bucket.
-
-Null text has no words. Documents whose id is null count as last. Rows that share an id count as one after the other, in
-the order of their texts; equal rows likewise, so the later one loses what both have. Texts shorter than a window stay.
+Whatever is shared by many documents costs a row of a packet for each occurrence; no pairs are formed. Of equal windows of a
+chunk only the first goes to a bucket, the others are repeats for certain. Documents travel in chunks dealt by a hash of their
+id, of which the text's exchange is used three times. Windows are equal if two independent 64-bit hashes of their words
+are; a word's hash is no polynomial of its bytes (see ``Words.hashes``), so texts made to collide in those do not.
+
+Ids are whole numbers (others raise a TypeError). Null text has no words. Documents whose id is null count as last. Rows that
+share an id count as one after the other, in the order of their texts; equal rows likewise, so the later one loses what both
+have. Texts shorter than a window stay. A very long text is held whole by the task of its chunk. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import Words, chunk_count, mix, shuffle_partitions, single, window_hashes
+from emberline.llm.common import Words, group_count, mix, others, shuffle_partitions, single, whole_numbers, window_hashes
 
 PACKET = "bucket int, chunk long, payload binary"
+WINDOWS = "bucket int, chunk long, known boolean, payload binary"
 REST = "_rest"
+#: Stored bytes of documents to a chunk, and to a bucket.
+CHUNK, BUCKET = 1 << 21, 1 << 25
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -62,7 +68,7 @@ def steps(places: np.ndarray) -> np.ndarray:
 
 
 def table_of(schema: str, *columns) -> pa.Table:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
@@ -123,34 +129,46 @@ def marked(spans: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def extended(docs: pa.Table, found: pa.Table, block: int, n_buckets: int) -> pa.Table:
-    """Packets of (hash, document, place) of the windows that contain a hit."""
+    """Packets of (two hashes, document, place) of the windows that contain a hit, the first of each in the chunk; and, as ``known``, packets of the places of all others."""
     if not docs.num_rows or not found.num_rows:
-        return table_of(PACKET, [], [], [])
+        return table_of(WINDOWS, [], [], [], [])
     docs = in_order(docs)
     words = Words(single(docs["_text"]))
     at = np.concatenate([unpacked(p, np.uint32)[0] for p in found["payload"].to_pylist()]).astype(np.int64)
     first, left = numbered(words)
     near = marked(np.maximum(at - block, first[at]), at + 1, len(words))
     places = np.flatnonzero(near & (left >= 2 * block))
-    h = window_hashes(words.hashes(), 2 * block)[places] if len(places) else np.zeros(0, np.uint64)
+    h, other = (window_hashes(words.hashes(seed), 2 * block)[places] if len(places) else np.zeros(0, np.uint64) for seed in (0, 1))
+    order = np.lexsort((places, other, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (other[order[1:]] != other[order[:-1]])
+    is_first = np.zeros(len(order), bool)
+    is_first[order] = new
+    chunk = docs["_chunk"][0].as_py()
+    later = places[~is_first].astype(np.uint32)
+    known = [(chunk % n_buckets, np.int64(len(later)).tobytes() + later.tobytes())] if len(later) else []
+    h, other, places = h[is_first], other[is_first], places[is_first]
     ids = docs["_id"].fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
-    owner = words.text_of()[places]
     bucket = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_buckets)).astype(np.int32)
-    out = list(packed(bucket, n_buckets, h, ids[owner], places.astype(np.uint32)))
-    return table_of(PACKET, [b for b, _ in out], [docs["_chunk"][0].as_py()] * len(out), [p for _, p in out])
+    out = list(packed(bucket, n_buckets, h, other, ids[words.text_of()[places]], places.astype(np.uint32)))
+    return table_of(WINDOWS, [b for b, _ in out + known], [chunk] * (len(out) + len(known)), [False] * len(out) + [True] * len(known), [p for _, p in out + known])
 
 
 def repeats(table: pa.Table) -> pa.Table:
     """Of one bucket: the places, by chunk, of windows that an earlier window equals."""
-    parts = [unpacked(p, np.uint64, np.int64, np.uint32) for p in table["payload"].to_pylist()]
-    h, doc, place = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    order = np.lexsort((place, doc, h))
-    later = np.zeros(len(h), bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
-    chunks = table["chunk"].to_numpy()
-    out = list(packed(row[later], len(chunks), place[later]))
-    return table_of("chunk long, payload binary", [int(chunks[i]) for i, _ in out], [p for _, p in out])
+    sent, known = table["payload"].to_pylist(), table["known"].to_pylist()
+    chunks = table["chunk"].to_pylist()
+    done = [(c, p) for c, p, k in zip(chunks, sent, known, strict=True) if k]
+    chunks = [c for c, k in zip(chunks, known, strict=True) if not k]
+    parts = [unpacked(p, np.uint64, np.uint64, np.int64, np.uint32) for p, k in zip(sent, known, strict=True) if not k]
+    if parts:
+        h, other, doc, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        order = np.lexsort((place, doc, other, h))
+        later = np.zeros(len(h), bool)
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+        done += [(chunks[i], p) for i, p in packed(row[later], len(chunks), place[later])]
+    return table_of("chunk long, payload binary", [c for c, _ in done], [p for _, p in done])
 
 
 def removed(docs: pa.Table, found: pa.Table, window: int) -> list[pa.Array]:
@@ -182,20 +200,22 @@ def removed(docs: pa.Table, found: pa.Table, window: int) -> list[pa.Array]:
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the kept words in text_col (joined by one blank), n_words, n_removed and removed_spans (word numbers, end exclusive).
 
-    These replace columns of the same names; all other columns come along. ``window`` is even.
+    These replace columns of the same names in whatever case; all other columns come along. ``window`` is even.
     """
     if window % 2 or window < 2:
         raise ValueError("window must be even")
-    block, n_buckets, n_chunks = window // 2, shuffle_partitions(docs.sparkSession), chunk_count(docs)
-    others = [c for c in docs.columns if c not in (id_col, text_col, "n_words", "n_removed", "removed_spans")]
+    whole_numbers(docs, id_col)
+    parts = shuffle_partitions(docs.sparkSession)
+    block, n_buckets, n_chunks = window // 2, group_count(docs, parts, BUCKET), group_count(docs, 4 * parts, CHUNK)
+    rest_of = others(docs, id_col, text_col, "n_words", "n_removed", "removed_spans")
     id_type = docs.schema[id_col].dataType.simpleString()
-    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("int")
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest_of)]) if rest_of else F.lit(None).cast("int")
     source = docs.select(
         F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(n_chunks)).alias("_chunk"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), rest.alias(REST)
     )
     chunks = source.groupBy("_chunk")
     hit = chunks.applyInArrow(lambda t: probes(t, block, n_buckets), PACKET).groupBy("bucket").applyInArrow(hits, "chunk long, payload binary")
-    windows = chunks.cogroup(hit.groupBy("chunk")).applyInArrow(lambda d, f: extended(d, f, block, n_buckets), PACKET)
+    windows = chunks.cogroup(hit.groupBy("chunk")).applyInArrow(lambda d, f: extended(d, f, block, n_buckets), WINDOWS)
     repeat = windows.groupBy("bucket").applyInArrow(repeats, "chunk long, payload binary")
     rest_type = source.schema[REST].dataType.simpleString()
     schema = f"_id long, _text string, n_words long, n_removed long, removed_spans array<struct<start:bigint,end:bigint>>, {REST} {rest_type}"
@@ -206,6 +226,6 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         return pa.table({"_id": d["_id"], "_text": text, "n_words": n, "n_removed": lost, "removed_spans": spans, REST: d[REST]})
 
     out = chunks.cogroup(repeat.groupBy("chunk")).applyInArrow(final, schema)
-    named = {id_col: F.col("_id").cast(id_type), text_col: F.col("_text"), **{c: F.col(REST)[f"c{i}"] for i, c in enumerate(others)}}
+    named = {id_col: F.col("_id").cast(id_type), text_col: F.col("_text"), **{c: F.col(REST)[f"c{i}"] for i, c in enumerate(rest_of)}}
     kept = [c for c in docs.columns if c in named]
     return out.select(*[named[c].alias(c) for c in kept], "n_words", "n_removed", "removed_spans")

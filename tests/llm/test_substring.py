@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from emberline.llm import substring
 
 
@@ -48,3 +50,25 @@ def test_equal_rows_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 9, r.n_removed) for r in substring.without_repeats(df).collect()) == [(1, 0), (1, 30), (9, 30)]
+
+
+def test_words_made_to_collide_and_clashing_names(spark):
+    """Two words of 2048 bytes that every polynomial hash modulo 2**64 takes for equal; columns named alike but for case; texts as ids."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([one, *rest]), 5, "k"), (2, " ".join([two, *rest]), 6, "l"), (3, " ".join([one, *rest]) + " tail", 7, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, N_Words int, Chunk string")
+    found = {r.doc_id: r for r in substring.without_repeats(df).collect()}
+    assert [(found[i].n_words, found[i].n_removed, found[i].Chunk) for i in (1, 2, 3)] == [(20, 0, "k"), (20, 0, "l"), (21, 20, "m")]
+    with pytest.raises(TypeError):
+        substring.without_repeats(df.withColumn("doc_id", df.text))
+
+
+def test_one_passage_everywhere(spark):
+    """A passage of every document and many times in one: of each chunk one occurrence goes to the bucket."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, f"{passage} own{i} {passage}" if i % 3 else f"own{i} {passage}") for i in range(200)] + [(500, f"{passage} " * 300)]
+    expected = plain(rows, 20)
+    for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.text, r.n_words, r.n_removed) == expected[r.doc_id], r.doc_id
