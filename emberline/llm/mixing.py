@@ -14,7 +14,8 @@ The order of documents within a source is that of the MD5 of their id, so reruns
 that MD5 within each source before ranges are put together, so no task sees a whole source.
 
 Null text has 0 words and is never taken; null sources form one source; null ids are ordered as the empty string.
-Repeated rows are documents of their own. An empty table gives an empty result.
+Repeated rows are documents of their own; rows that tie in id and size go by a hash of their text. A very long text is a
+document like others; with ``carry`` a column named position is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import WORD, checkpointed, shuffle_partitions
+from emberline.llm.common import WORD, checkpointed, others, shuffle_partitions
 
 #: Slope of the weight schedule for weights 1, 2 and 3: the first fades, the last comes in.
 SLOPES = (-0.5, 0.0, 0.5)
@@ -57,7 +58,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     size = F.regexp_count(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), *rest)
+    digest = [F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("digest")] if carry else []
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), *digest, *rest)
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
     small = checkpointed(rows.select("source", "size", key.alias("key"), "id"))
     goals = targets(small, cap)
@@ -70,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         small = rows.withColumn("key", key)
     placed = small.withColumn("range_of", cut)
     placed = placed.join(offsets, placed.source.eqNullSafe(offsets.s) & (placed.range_of == offsets.range))
-    inside = Window.partitionBy("source", "range_of").orderBy("key", "id", "size")
+    inside = Window.partitionBy("source", "range_of").orderBy("key", "id", "size", *(["digest"] if carry else []))
     start = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("start", F.col("offset") + F.coalesce(start, F.lit(0)))
     slope = F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), F.col("weight").cast("int"))
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n = shuffle_partitions(docs.sparkSession)
     if carry:
         copies = placed.select("row", F.posexplode("positions").alias("pass", "position"))
-        return copies.repartitionByRange(n, "position").sortWithinPartitions("position", "pass").select("row.*", "position")
+        return copies.repartitionByRange(n, "position").sortWithinPartitions("position", "pass").select(*[F.col(f"row.`{c}`") for c in others(docs, "position")], "position")
     out = placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), "positions")
     first = F.get("positions", F.lit(0))
     return out.repartitionByRange(n, first.asc_nulls_last(), F.xxhash64(id_col)).sortWithinPartitions(first.asc_nulls_last(), id_col)
