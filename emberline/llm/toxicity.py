@@ -1,17 +1,21 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine by a block-max inverted index.
 
-Training takes a bounded sample of labelled documents (``examples`` a class, whole texts) and all of their terms. Document
-frequencies of these terms are then counted over all documents. Examples and documents are TF-IDF vectors of unit length,
-each term weighted by 1 plus its chi-square with the label, so that words which go with a label count for most and none is
-left out. Words that no example has are in no vector; they would change the order of no neighbours.
+Terms are words cut to their first ``STEM`` characters, a stemmer that suits inflected languages of any kind. Training takes
+a bounded sample of labelled documents (``examples`` a class, whole texts) and all of their terms. Document frequencies of
+these terms are then counted over all documents. Examples and documents are TF-IDF vectors of unit length. Terms that no
+example has are in no vector; they would change the order of no neighbours.
 
 The index holds for each term its postings in blocks of ``BLOCK`` examples and, for each term and block, the greatest
-weight. A query sorts the blocks by the bound that these weights give and reads blocks, a few at a time, until no bound
-exceeds the k-th best similarity, which makes the k nearest examples exact. Neighbours vote with weight 1 / (1 - similarity + 0.05) times
-the number of documents that an example stands for; isotonic regression over the examples themselves (each left out of its
-own vote) turns votes into calibrated scores. A document without any term has the rate of such examples.
-
-Null texts count as empty. Repeated rows score alike. Without labels of both kinds every score is the rate of label 1.
+weight; examples are numbered so that alike ones share a block. A query sorts the blocks by the bound that these weights give
+and reads blocks, a few at a time, until no bound exceeds the k-th best similarity, which makes the k nearest examples exact.
+Neighbours vote with weight 1 / (1 - similarity + 0.05) times the number of documents that an example stands for; isotonic
+regression over the examples themselves (each left out of its own vote) turns votes into calibrated scores. All neighbours
+that vote are the evidence. A document without any term has the rate of such examples.
+
+Ids are whole numbers (others raise a TypeError); null ids stay. Null texts count as empty. Repeated rows score alike; of
+equally similar examples those of lower number are nearer. Without labels of both kinds every score is the rate of label 1. An
+id that several labelled texts share stands for the least of their term lists. A very long text costs time in its words and memory in its
+distinct terms. An empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,18 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import opened, shared
-from emberline.llm.sampling import remainder, sampled_ids, texts_of
+from emberline.llm.common import opened, shared, whole_numbers
+from emberline.llm.sampling import remainder, sampled_ids
 
-BLOCK, NEIGHBOURS = 64, 25
+BLOCK, NEIGHBOURS, STEM = 64, 15, 4
 #: At most this many examples of each label (times 1.5).
 EXAMPLES = 2000
+#: Frequent terms and directions by which examples are numbered.
+COMMON, DIRECTIONS = 256, 4
 PUNCTUATION = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters and digits (all bytes over 127 count as such)."""
-    return (text or "").lower().encode().translate(PUNCTUATION).split()
+def terms_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and digits (all characters but ASCII ones count as such), cut to their first characters."""
+    return [w[:STEM] for w in (text or "").lower().encode().translate(PUNCTUATION).decode().split()]
 
 
 class Index:
@@ -58,20 +64,19 @@ class Index:
         self.most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
         self.first = np.searchsorted(place[starts] // self.blocks, np.arange(n_terms + 1))
 
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[int, float]]:
-        """The k most similar examples with a similarity over 0, equal ones by their number."""
-        terms = np.fromiter(query, np.int64, len(query))
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k most similar examples with a similarity over 0, equal ones by their number, and their similarities."""
         first = self.first[terms]
         entries, owner = ranges(first, self.first[terms + 1] - first)
-        weights = np.fromiter(query.values(), float, len(query))[owner]
+        weights = weights[owner]
         block = self.block[entries]
         bound = np.bincount(block, weights * self.most[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        at, step = 0, 4
+        found, similar = np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 8
         while at < self.blocks:
             take = order[at : at + step]
-            take = take[(bound[take] > 0) & ((len(found) < k) | (bound[take] + 1e-9 >= (-found[-1][0] if found else 0)))]
+            take = take[(bound[take] > 0) & ((len(found) < k) | (bound[take] + 1e-9 >= (similar[-1] if len(similar) else 0)))]
             if not len(take):  # bounds fall, so no later block can do better
                 break
             chosen = np.zeros(self.blocks, bool)
@@ -86,9 +91,28 @@ class Index:
             if len(some) > k:
                 least = np.partition(score[some], -k)[-k]
                 some = some[score[some] >= least - 2e-9]
-            found = sorted(found + [(-round(float(score[i]), 9), int(i)) for i in some])[:k]
+            found, similar = np.concatenate([found, some]), np.concatenate([similar, np.round(score[some], 9)])
+            best = np.lexsort((found, -similar))[:k]
+            found, similar = found[best], similar[best]
             at, step = at + step, step * 2
-        return [(i, -s) for s, i in found]
+        return found, similar
+
+
+def alike_together(counts: list[Counter]) -> np.ndarray:
+    """An order of the examples in which alike ones are near: by the leading directions of their most frequent terms."""
+    common = Counter(t for c in counts for t in c)
+    place = {t: i for i, t in enumerate(sorted(common, key=lambda t: (-common[t], t))[:COMMON])}
+    dense = np.zeros((len(counts), len(place)))
+    for row, c in enumerate(counts):
+        for t, n in c.items():
+            if t in place:
+                dense[row, place[t]] = 1 + math.log(n)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    if not dense.size:
+        return np.arange(len(counts))
+    values = dense @ np.linalg.eigh(dense.T @ dense)[1][:, ::-1][:, 1 : DIRECTIONS + 1]
+    sides = values > np.median(values, axis=0) if values.size else np.zeros((len(counts), 0), bool)
+    return np.lexsort((values[:, -1], *sides.T[::-1])) if values.size else np.arange(len(counts))
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,63 +140,66 @@ def isotonic(x: list[float], y: list[float], w: list[float]) -> tuple[list[float
 
 
 class Model:
-    def __init__(self, terms: list[bytes]):
+    def __init__(self, terms: list[str]):
         self.terms = {t: i for i, t in enumerate(terms)}
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the known terms, by number."""
         get = self.terms.get
-        return Counter(i for i in map(get, terms_of(text)) if i is not None)
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()} if size else {}
-
-    def vote(self, near: list[tuple[int, float]]) -> float:
-        total = good = 0.0
-        for i, s in near:
-            w = self.stand[i] / (1.05 - s)
-            total, good = total + w, good + w * self.labels[i]
-        return good / total if total else 0.0
-
-    def fit(self, idf: list[float], ids: list, counts: list[Counter], labels: list[int], stand: list[float]) -> None:
-        self.idf, self.ids, self.labels, self.stand = idf, ids, labels, stand
-        vectors = [self.vector(c) for c in counts]
-        self.index = Index(vectors, len(self.terms))
-        rate = (sum(s * y for s, y in zip(stand, labels, strict=True)) + 0.1) / (sum(stand) + 1)
-        none = [i for i, v in enumerate(vectors) if not v]
-        self.rate = (sum(stand[i] * labels[i] for i in none) + rate) / (sum(stand[i] for i in none) + 1)
-        some = [i for i, v in enumerate(vectors) if v]
-        votes = [self.vote(self.index.nearest(vectors[i], NEIGHBOURS, i)) for i in some]
-        self.steps = isotonic(votes, [float(labels[i]) for i in some], [stand[i] for i in some]) if some else ([], [])
-
-    def score(self, counts: Counter) -> tuple[float, list]:
-        near = self.index.nearest(self.vector(counts), NEIGHBOURS)
-        if not near or not self.steps[0]:
-            return min(1.0, max(0.0, self.rate)), []
-        vote = self.vote(near)
+        known = sorted((i, n) for t, n in words.items() if (i := get(t)) is not None)
+        both = np.array(known, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def vector(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
+        v = (1 + np.log(n)) * self.idf[terms]
+        size = math.sqrt(float(v @ v))
+        return v / size if size else v
+
+    def vote(self, near: np.ndarray, similar: np.ndarray) -> float:
+        w = self.stand[near] / (1.05 - similar)
+        return float((w * self.labels[near]).sum() / w.sum()) if len(near) else 0.0
+
+    def fit(self, idf: np.ndarray, ids: list, counts: list[Counter], labels: list[int], stand: list[float]) -> None:
+        self.idf, order = idf, alike_together(counts)
+        self.ids, self.labels, self.stand = [ids[i] for i in order], np.array(labels, np.int64)[order], np.array(stand, float)[order]
+        rows = [self.counts(counts[i]) for i in order]
+        vectors = [self.vector(*r) for r in rows]
+        self.index = Index([dict(zip(t.tolist(), v.tolist(), strict=True)) for (t, _), v in zip(rows, vectors, strict=True)], len(self.terms))
+        rate = (float(self.stand @ self.labels) + 0.1) / (float(self.stand.sum()) + 1)
+        empty = np.array([not len(t) for t, _ in rows], bool)
+        self.rate = (float(self.stand[empty] @ self.labels[empty]) + rate) / (float(self.stand[empty].sum()) + 1)
+        some = np.flatnonzero(~empty)
+        votes = [self.vote(*self.index.nearest(rows[i][0], vectors[i], NEIGHBOURS, i)) for i in some]
+        self.steps = isotonic(votes, self.labels[some].astype(float).tolist(), self.stand[some].tolist()) if len(some) else ([], [])
+
+    def score(self, terms: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        near, similar = self.index.nearest(terms, self.vector(terms, n), NEIGHBOURS)
+        if not len(near) or not self.steps[0]:
+            return min(1.0, max(0.0, self.rate)), near[:0], similar[:0]
+        vote = self.vote(near, similar)
         at = int(np.searchsorted(self.steps[0], vote, side="right")) - 1
         # The vote itself orders documents within a step of the calibration.
-        return min(1.0, max(0.0, 0.98 * self.steps[1][max(at, 0)] + 0.02 * vote)), near
-
-
-def associations(counts: list[set], labels: list[int]) -> dict[bytes, float]:
-    """For every term of the examples, 1 plus the chi-square of its presence and the label."""
-    n1 = sum(labels)
-    n0 = len(labels) - n1
-    with1, with0 = Counter(), Counter()
-    for terms, y in zip(counts, labels, strict=True):
-        (with1 if y else with0).update(terms)
-    found = {}
-    for t in sorted(with1.keys() | with0.keys()):
-        a, b = with1[t], with0[t]
-        c, d = n1 - a, n0 - b
-        low = (a + b) * (c + d) * n1 * n0
-        found[t] = 1 + ((a * d - b * c) ** 2 * len(labels) / low if low else 0.0)
-    return found
-
-
-def document_frequencies(docs: DataFrame, terms: list[bytes], text_col: str) -> tuple[int, list[int]]:
+        return min(1.0, max(0.0, 0.98 * self.steps[1][max(at, 0)] + 0.02 * vote)), near, similar
+
+
+def examples_of(docs: DataFrame, ids: list, id_col: str, text_col: str) -> dict[int, Counter]:
+    """Terms of the whole texts of these ids, counted where the texts are; the caller bounds the ids."""
+    sent = shared(docs.sparkSession, frozenset(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = opened(sent)
+        for batch in batches:
+            rows = [(i, sorted(Counter(terms_of(t.as_py())).items())) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if i in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([[t for t, _ in c] for _, c in rows], pa.list_(pa.string())), pa.array([[n for _, n in c] for _, c in rows], pa.list_(pa.int64()))], ["id", "terms", "n"])
+
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("id is not null and text is not null")
+    found: dict[int, tuple] = {}
+    for r in source.mapInArrow(run, "id long, terms array<string>, n array<long>").collect():
+        found[r["id"]] = min(found.get(r["id"], (r["terms"], r["n"])), (r["terms"], r["n"]))
+    return {i: Counter(dict(zip(*c, strict=True))) for i, c in found.items()}
+
+
+def document_frequencies(docs: DataFrame, terms: list[str], text_col: str) -> tuple[int, np.ndarray]:
     """How many documents there are, and how many have each term; each task sends a row for each term that it met."""
     sent = shared(docs.sparkSession, {t: i for i, t in enumerate(terms)})
     n = len(terms)
@@ -191,49 +218,52 @@ def document_frequencies(docs: DataFrame, terms: list[bytes], text_col: str) ->
         for i in range(0, len(met), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(met[i : i + (1 << 16)]), pa.array(total[met[i : i + (1 << 16)]])], ["term", "df"])
 
-    parts = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "term long, df long")
+    parts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "term long, df long")
     sums = parts.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(n + 1, np.int64)
     df[sums["term"].to_numpy()] = sums["df"].to_numpy()
-    return int(df[n]), df[:n].tolist()
+    return int(df[n]), df[:n]
 
 
 def trained(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES) -> Model:
     """A model from (id_col, label_col) rows whose label is 0 or 1."""
+    whole_numbers(docs, id_col)
     chosen = sampled_ids(labels.filter(F.col(label_col).isin(0, 1)), label_col, examples, id_col)
-    texts = texts_of(docs, [i for i, _, _ in chosen], id_col, text_col)
-    chosen = [x for x in chosen if x[0] in texts]
-    y, stand = [int(x[1]) for x in chosen], [float(x[2]) for x in chosen]
-    weights = associations([set(terms_of(texts[i])) for i, _, _ in chosen], y)
-    model = Model(list(weights))
+    words = examples_of(docs, [i for i, _, _ in chosen], id_col, text_col)
+    chosen = [x for x in chosen if x[0] in words]
+    model = Model(sorted({t for c in words.values() for t in c}))
     n, df = document_frequencies(docs, list(model.terms), text_col)
-    model.fit([(math.log((n + 1) / (d + 1)) + 1e-3) * w for d, w in zip(df, weights.values(), strict=True)], [x[0] for x in chosen], [model.counts(texts[x[0]]) for x in chosen], y, stand)
+    model.fit(np.log((n + 1) / (df + 1)) + 1e-3, [x[0] for x in chosen], [words[x[0]] for x in chosen], [int(x[1]) for x in chosen], [float(x[2]) for x in chosen])
     return model
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, evidence): evidence lists the nearest examples, their similarity and label. A narrow map."""
+    """(id_col, score, evidence): evidence lists the examples that vote, nearest first, their similarity and label. A narrow map."""
+    whole_numbers(docs, id_col)
     sent = shared(docs.sparkSession, model)
-    source = docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    near_type = pa.list_(pa.struct([("id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = opened(sent), {}
+        ids = np.array(m.ids, np.int64)
         for batch in batches:
-            scores, evidence = [], []
+            scores, near, similar = [], [np.zeros(0, np.int64)], [np.zeros(0)]
             for text in batch.column(1):
-                counts = m.counts(text.as_py())
-                key = tuple(sorted(counts.items()))
+                terms, n = m.counts(Counter(terms_of(text.as_py())))
+                key = (terms.tobytes(), n.tobytes())
                 if key not in known:
-                    if len(known) > 100_000:  # a memo of equal vectors, nothing more
+                    if len(known) > 10_000:  # a memo of equal vectors, nothing more
                         known.clear()
-                    s, near = m.score(counts)
-                    known[key] = s, [{"id": int(m.ids[i]), "similarity": c, "label": m.labels[i]} for i, c in near[:5]]
-                s, near = known[key]
+                    known[key] = m.score(terms, n)
+                s, a, b = known[key]
                 scores.append(s)
-                evidence.append(near)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, near_type)], [id_col, "score", "evidence"])
+                near.append(a)
+                similar.append(b)
+            at = pa.array(np.cumsum([len(a) for a in near]).astype(np.int32))
+            near = np.concatenate(near)
+            evidence = pa.StructArray.from_arrays([pa.array(ids[near]), pa.array(np.concatenate(similar)), pa.array(m.labels[near].astype(np.int32))], ["id", "similarity", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(at, evidence)], [id_col, "score", "evidence"])
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<struct<id:bigint,similarity:double,label:int>>")
 
