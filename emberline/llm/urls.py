@@ -1,15 +1,18 @@
 """URL rules, and trust and distrust spread over the links between hosts.
 
 Hosts get trust in proportion to their pages that an allow rule fits, and distrust in proportion to their pages that a
-block rule fits. Personalised PageRank carries trust along links; distrust goes against them, from a blocked host to those
-that link to it. Mass of hosts without a link returns to the seeds. A host is blocked if its distrust exceeds its trust by
-more than ``margin``; a host that neither reaches is allowed. Pages that a rule fits follow the rule.
+block rule fits; both seeds add up to 1, so that neither side wins by the mere number of pages that it fits. Personalised
+PageRank carries trust along links; distrust goes against them, from a blocked host to those that link to it. Mass of hosts
+without a link returns to the seeds. A host is blocked if its distrust exceeds its trust by more than ``margin`` times the sum of
+both; a host that neither reaches is allowed. Pages that a rule fits follow the rule, of several the longest (host and
+path together; equally long ones: the one of the longer host, then the first by text).
 
-Edges are counted by host before the shuffle; each round joins the scores with the host edges, and every few rounds are
-cut by a checkpoint. Rounds go on until the scores have converged to well under the least margin of a verdict.
+Edges are counted by host before the shuffle; each round joins the scores with the host edges and sums them before its
+shuffle, and every few rounds are cut by a checkpoint. Rounds go on until the mass that can still arrive anywhere is under ``TOLERANCE``.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and, having no seeds, are allowed. Null html has
-no links. Repeated rows count as often as they occur. An empty table gives an empty result.
+no links. Repeated rows count as often as they occur. Without rules all are allowed. An empty table gives an empty result. A
+very long page costs time in its length; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -19,9 +22,9 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import checkpointed
 
-DAMPING, ROUNDS, CUT = 0.85, 12, 4
-#: Rounds between checkpoints, and the mass that may be missing when they end: a fifth of the least margin of a verdict.
-STRIDE, TOLERANCE = 8, 2e-7
+DAMPING = 0.85
+#: Rounds between checkpoints, and the mass that may be missing when they end (all seeds of a kind have a mass of 1).
+STRIDE, TOLERANCE = 3, 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -38,7 +41,7 @@ def path_of(url: Column) -> Column:
 def fitting(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null. A rule is a host, a slash and the beginning of a path."""
     out = F
-    for rule, verdict in sorted(rules, key=lambda r: (-len(r[0].partition("/")[0]), -len(r[0]))):
+    for rule, verdict in sorted(rules, key=lambda r: (-len(r[0]), -len(r[0].partition("/")[0]), r[0])):
         name, _, start = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith("/" + start)
         out = out.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict")))
@@ -58,26 +61,6 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter("dst is not null and dst <> '' and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank over edges (src, dst, n) from seeds (host, mass); the scores add up to the seeds' mass.
-
-    A round reads the scores once, so its plan grows by one join and one aggregate.
-    """
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps = edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
-    hosts = edges.select(F.col("dst").alias("src")).unionByName(seeds.select(F.col("host").alias("src"))).distinct()
-    ends = hosts.join(out, "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("share"))
-    steps = checkpointed(steps.unionByName(ends))
-    seeds = checkpointed(seeds.select("host", F.col("mass").cast("double").alias("score")))
-    scores, source = seeds, seeds.select("host", (F.col("score") * (1 - damping)).alias("score"))
-    for i in range(1, rounds + 1):
-        moved = scores.join(steps, scores.host == steps.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        scores = source.unionByName(moved).groupBy("host").agg(F.round(F.sum("score"), 9).alias("score"))
-        if i % CUT == 0 or i == rounds:
-            scores = checkpointed(scores)
-    return scores
-
-
 def returned(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(kind, host, score): personalised PageRank for each kind of edges (kind, src, dst, n) and seeds (kind, host, mass).
 
@@ -110,20 +93,23 @@ def returned(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, d
     factor = F.lit(1.0)
     for kind, total in sums.items() if masses else ():
         factor = F.when(F.col("kind") == kind, F.lit(masses[kind] / total)).otherwise(factor)
-    return scores.select("kind", "host", F.round(F.col("score") * factor, 9).alias("score"))
+    return scores.select("kind", "host", (F.col("score") * factor).alias("score"))
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], margin: float = 0.0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], margin: float = 1e-3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, host, path, rule, verdict, trust, distrust) of every page."""
     url = F.col(f"`{url_col}`").cast("string")
-    base = pages.select(F.col(f"`{id_col}`").alias(id_col), host_of(url).alias("host"), path_of(url).alias("path"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    base = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(f"`{html_col}`").cast("string").alias("html"))
     base = base.withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
     edges = checkpointed(host_edges(base.select("host", "html")))
-    counted = checkpointed(base.filter("fit is not null").groupBy("host", F.col("fit.verdict").alias("verdict")).agg(F.count("*").alias("mass")))
+    counted = checkpointed(base.filter("fit is not null").groupBy("host", F.col("fit.verdict").alias("kind")).agg(F.count("*").alias("n")))
+    totals = counted.groupBy("kind").agg(F.sum("n").alias("total"))
+    seeds = counted.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("mass"))  # two rows at most
     ways = edges.withColumn("kind", F.lit("allow")).unionByName(edges.select(F.lit("block").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    scores = returned(ways, counted.select(F.col("verdict").alias("kind"), "host", "mass"))
+    scores = returned(ways, seeds)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     hosts = scores.groupBy(F.col("host").alias("h")).agg(of("allow").alias("trust"), of("block").alias("distrust"))
     rows = base.drop("html").join(hosts, F.col("host") == F.col("h"), "left")
-    by_host = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) > margin + 1e-6, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    more = F.col("distrust") - F.col("trust") > margin * (F.col("distrust") + F.col("trust"))
+    by_host = F.when(F.coalesce(more, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", by_host).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -8,27 +8,6 @@ import pytest
 from emberline.llm import queries, urls
 
 
-def test_spread(spark):
-    rng = random.Random(4)
-    edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(15)}"): rng.randint(1, 5) for _ in range(40)}
-    seeds = {"h1": 3, "h5": 1, "lone": 2}
-    found = {r.host: r.score for r in urls.spread(spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long"), spark.createDataFrame(list(seeds.items()), "host string, mass long")).collect()}
-    hosts = sorted({h for e in edges for h in e} | set(seeds))
-    at = {h: i for i, h in enumerate(hosts)}
-    m = np.zeros((len(hosts),) * 2)
-    for (a, b), n in edges.items():
-        m[at[a], at[b]] += n
-    for i in range(len(hosts)):
-        if not m[i].any():
-            m[i, i] = 1
-    m /= m.sum(axis=1, keepdims=True)
-    s = np.array([float(seeds.get(h, 0)) for h in hosts])
-    x = s.copy()
-    for _ in range(urls.ROUNDS):
-        x = (1 - urls.DAMPING) * s + urls.DAMPING * x @ m
-    assert {h: x[i] for h, i in at.items() if x[i] > 1e-6} == pytest.approx({h: v for h, v in found.items() if v > 1e-6}, abs=1e-6)
-
-
 def test_judged(spark):
     bad = '<a href="http://spam.net/x">x</a><A HREF=//Spam.net>y</A><a href="mailto:a@b">z</a>'
     rows = [
@@ -68,14 +47,36 @@ def returned(spark, edges, seeds, **options):
 def test_dangling_mass_returns(spark):
     # two links to a host without links, and a seed that has none
     edges, seeds = {("a", "end"): 1, ("a", "b"): 1, ("b", "end"): 2}, {"a": 3, "lone": 1}
-    assert returned(spark, edges, seeds) == pytest.approx(solved(edges, seeds), abs=1e-6)
+    assert returned(spark, edges, seeds, tolerance=2e-7) == pytest.approx(solved(edges, seeds), abs=1e-6)
+
+
+def test_random_graphs(spark):
+    rng = random.Random(4)
+    edges = {(f"h{rng.randrange(12)}", f"h{rng.randrange(15)}"): rng.randint(1, 5) for _ in range(40)}
+    seeds = {"h1": 3, "h5": 1, "lone": 2}
+    assert returned(spark, edges, seeds, tolerance=2e-7) == pytest.approx(solved(edges, seeds), abs=1e-6)
+
+
+def test_longest_rule_and_normalised_seeds(spark):
+    """The whole rule's length counts. One blocked page against nine trusted ones: each side has a mass of 1."""
+    rows = [(1, "http://x.b.org/long/path", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert urls.judged(df, [("x.b.org/", "block"), ("b.org/long/path", "allow")]).first().rule == "b.org/long/path"
+    rows = [(i, "http://good.net/ok", '<a href="http://mid.net/">x</a>') for i in range(9)] + [(9, "http://bad.net/no", ""), (10, "http://mid.net/", '<a href="http://bad.net/">x</a>'), (11, "http://other.net/", "")]
+    df = spark.createDataFrame([(*r, "n", 1) for r in rows], "page_id long, url string, html string, HOST string, id int")
+    found = {r.page_id: r for r in urls.judged(df, [("good.net/ok", "allow"), ("bad.net/no", "block")]).collect()}
+    trust = solved({("good.net", "mid.net"): 9, ("mid.net", "bad.net"): 1}, {"good.net": 1})
+    distrust = solved({("mid.net", "good.net"): 9, ("bad.net", "mid.net"): 1}, {"bad.net": 1})
+    for r in found.values():
+        assert (r.trust, r.distrust) == pytest.approx((trust.get(r.host, 0), distrust.get(r.host, 0)), abs=2e-6)
+    assert found[10].verdict == "allow" and found[11].verdict == "allow" and found[9].verdict == "block"
 
 
 def test_long_chains_converge(spark):
     edges = {(f"c{i}", f"c{i + 1}"): 1 for i in range(40)} | {("c40", "c38"): 1, ("x", "y"): 2, ("y", "x"): 1, ("y", "c0"): 3}
     seeds = {"c0": 900, "x": 100}
     expected = solved(edges, seeds)
-    assert len(expected) == 43 and returned(spark, edges, seeds) == pytest.approx(expected, abs=1e-6)
+    assert len(expected) == 43 and returned(spark, edges, seeds, tolerance=2e-7) == pytest.approx(expected, abs=1e-6)
 
 
 def test_far_host_is_blocked(spark):
