@@ -25,7 +25,20 @@ def distance(a, b):
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 9))
 def test_alignment(a, b, most):
     d = distance(a, b)
-    assert neardup.banded_distance(a, b, most) == (d if d <= most else None)
+    expected = d if d <= most else None
+    assert neardup.banded_distance(a, b, most) == neardup.by_diagonals(a, b, most) == neardup.by_bits(a, b, most) == expected if abs(len(a) - len(b)) <= most else expected is None
+
+
+@pytest.mark.parametrize("most", [3, 20, 70, 200])
+def test_alignment_of_long_texts(most):
+    rng = random.Random(most)
+    for n in (1, 63, 64, 65, 130, 400):
+        a = rng.choices(range(30), k=n)
+        for edits in (0, most // 2, most, most + 5, 3 * most):
+            b = [int(x[1:]) + 100 if isinstance(x, str) else x for x in edited(rng, a, min(edits, n - 1))]
+            d = distance(a, b)
+            assert neardup.by_bits(a, b, most) == neardup.by_bits(b, a, most) == (d if d <= most else None)
+            assert neardup.banded_distance(a, b, most) == (d if d <= most else None)
 
 
 def edited(rng, words, n):
