@@ -111,17 +111,15 @@ def set_except(spark, sf):
 
 # recursion
 
-EDGES_SQL = "e AS (SELECT n_nationkey AS x, n_regionkey + 100 AS y FROM nation UNION ALL SELECT r_regionkey + 100, 200 FROM region UNION ALL SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey % 5 < 3)"
+EDGES_SQL = "e AS (SELECT a.conv_id AS c, a.turn AS x, b.turn AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
-def edges(spark, sf):
-    n, r = table(spark, sf, "nation", "n_nationkey", "n_regionkey"), table(spark, sf, "region", "r_regionkey")
-    return n.select(F.col("n_nationkey").alias("x"), (F.col("n_regionkey") + 100).alias("y")).unionAll(r.select(F.col("r_regionkey") + 100, F.lit(200))).unionAll(n.filter("n_nationkey % 5 < 3").select("n_nationkey", F.col("n_nationkey") + 1))
-
-
-@query(f"WITH RECURSIVE {EDGES_SQL}, p AS (SELECT x, y FROM e UNION ALL SELECT p.x, e.y FROM p JOIN e ON p.y = e.x) SELECT x, y FROM p")
+@query(f"WITH RECURSIVE {EDGES_SQL}, p AS (SELECT c, x, y FROM e UNION ALL SELECT p.c, p.x, e.y FROM p JOIN e ON p.c = e.c AND p.y = e.x) SELECT c, x, y FROM p")
 def closure_multiset(spark, sf):
-    return named(solved(spark, "edge(X, Y) ==> path(X, Y); path(X, Y), edge(Y, Z) ==> path(X, Z);", {"edge": edges(spark, sf)}).facts("path", 2), "x", "y")
+    """Turns of a conversation that come after one another, at any distance."""
+    rules = "turn(C, X), turn(C, Y) ==> Y === X + 1 | next(C, X, Y); next(C, X, Y) ==> path(C, X, Y); path(C, X, Y), next(C, Y, Z) ==> path(C, X, Z);"
+    e = solved(spark, rules, {"turn": table(spark, sf, "conversations", "conv_id", "turn")})
+    return named(e.facts("path", 3), "c", "x", "y")
 
 
 @query("WITH RECURSIVE e AS (SELECT n_nationkey AS x, (n_nationkey * 7 + 3) % 25 AS y FROM nation), p AS (SELECT x, y FROM e UNION SELECT p.x, e.y FROM p JOIN e ON p.y = e.x) SELECT x, y FROM p")
