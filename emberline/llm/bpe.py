@@ -1,20 +1,23 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut into words by the vocabulary's pattern. Each distinct word becomes an array of its bytes (in hex); a fold
-merges the adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from a literal map that is
-cut into shards by hash, so that a look-up reads one short shard. Decoding joins the pieces of the ids.
-
-Words are encoded once, not once an occurrence. The ``hot`` most frequent words of a bounded sample are encoded first and
-go out as a broadcast of bounded size; it is a cache and decides nothing. All other words travel with their document and
-place to the partition of the word, are encoded there once, and travel back. Texts do not travel: what is shuffled are the
-numbers of hot words, in two bytes each (four more for the less frequent).
-
-Null text counts as empty; an empty text has no ids. Equal rows are encoded alike; a row is known by its id and its text's
-hash. Ids of texts that are long single words cost time in the square of the word's length.
+A text is cut into words by the vocabulary's pattern. Each distinct word of a document becomes an array of its bytes, held as a
+string of a mark and one code point for each part (``FIRST`` plus its id), because slices of strings are cheap; a fold merges the
+adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from a literal map of pairs that is cut
+into shards by hash, so that a look-up reads one short shard. Decoding concatenates the binary pieces of the ids.
+
+Nothing is shuffled and nothing is written: every stage is a narrow map over the documents. The ``hot`` most frequent words of
+a bounded sample are encoded first and go out as a broadcast of bounded size; it is a cache and decides nothing. All other
+words are folded in their document, each distinct one once. A word of more than ``FOLDED`` bytes, for which a fold would
+take time in the square of its length, is merged by a heap instead, with the same ranks and the same result.
+
+Null text counts as empty; an empty text has no ids. Equal rows are encoded alike and each stays a row; columns of the input
+other than the id do not matter. Null ids stay. An empty table gives an empty result. A very long text is held whole by one
+task, with its words and ids.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -23,96 +26,182 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from emberline.llm.common import opened, shared, shuffle_partitions, stored
+from emberline.llm.common import opened, others, shared, shuffle_partitions
 from emberline.llm.quality import let
 
-#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample; shards of the literal map.
-HOT, LONGEST, SAMPLE, SHARDS = 400_000, 40, 20_000, 1 << 14
-#: Numbers of hot words in a document: from this one on they follow as four bytes; and the mark of other words.
-WIDE, RARE = 65534, 65535
+#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample (about); shards of the literal map.
+HOT, LONGEST, SAMPLE, SHARDS = 500_000, 40, 40_000, 1 << 15
+#: Words or ids that Python handles at a time (a longer single document is taken whole).
+SLICE = 1 << 19
+#: Words of more bytes than this are merged by a heap.
+FOLDED = 128
+#: The code point of the part with id 0 (from here on none is a surrogate), what stands before each part (no byte), and what is over all parts.
+FIRST, MARK, NONE = 0xE000, "\u0100", "\U0010ffff"
 
 
 def constant(value, kind: str) -> Column:
     """A value as one literal of a plan; the vocabulary bounds its size."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+
+
+def pairs_of(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Each pair of parts, as marked code points, whose concatenation has a rank."""
+    return {MARK + chr(FIRST + ranks[k[:i]]) + MARK + chr(FIRST + ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
 
 
-def sharded(spark: SparkSession, entries: dict[str, int], kind: str = "map<string,int>") -> tuple[Column, int]:
-    """A literal array of small maps; a key lies in the map that its hash names. Its size is that of ``entries``, which the caller bounds."""
-    n = 1 << max(4, min(SHARDS.bit_length() - 1, len(entries).bit_length()))
-    rows = spark.createDataFrame([(k,) for k in entries] or [("",)], "k string").select("k", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).collect()
-    shards: list[dict] = [{} for _ in range(n)]
-    for k, s in rows:
-        if k in entries:
-            shards[s][k] = entries[k]
-    return constant(shards, f"array<{kind}>"), n
+def sharded(spark: SparkSession, pairs: dict[str, int]) -> tuple[Column, int]:
+    """A literal array of strings of entries (pair, merged part); a pair stands in the string that its hash names."""
+    n = 1 << max(4, min(SHARDS.bit_length() - 1, len(pairs).bit_length()))
+    keys = pa.table({"k": pa.array(list(pairs), pa.string())})
+    found = spark.createDataFrame(keys).select("k", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int").alias("s")).toArrow()
+    shards = [MARK + NONE] * n  # what is not found is read as the first two
+    for k, s in zip(found["k"].to_pylist(), found["s"].to_pylist(), strict=True):
+        shards[s] += k + MARK + chr(FIRST + pairs[k])
+    return constant(shards, "array<string>"), n
 
 
 class Ranks:
-    """The vocabulary as literals: hex piece to rank, and rank to hex piece."""
+    """The vocabulary: a literal of pairs of parts and their merged part, and the table of pieces for whole words and decoding."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
-        self.map, self.n = sharded(spark, {k.hex(): v for k, v in ranks.items()})
-        pieces = [""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            pieces[v] = k.hex()
-        self.pieces = constant(pieces, "array<string>")
-
-    def rank(self, known: Column, piece: Column) -> Column:
-        """``known`` is bound to the literal, which so stands once in a plan."""
-        return F.try_element_at(F.get(known, F.pmod(F.xxhash64(piece), F.lit(self.n)).cast("int")), piece)
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"bytes without a rank: {missing}")
+        self.spark, self.table, self.pattern = spark, ranks, "(?U)" + pattern
+        self.map, self.n = sharded(spark, pairs_of(ranks))
+        self.bytes = "".join(map(chr, range(256))), "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
+        #: Pieces that merging would not give: a word that is one of them has its id all the same.
+        self.odd = {k: v for k, v in ranks.items() if merged_ids(k, ranks) != [v]}
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def with_ids(self, df: DataFrame, word: str = "word") -> DataFrame:
-        """``df`` and the ids of its words."""
-        return df.select("*", let(self.map, lambda known: self._ids(F.col(word), lambda piece: self.rank(known, piece))).alias("ids"))
+    def ids(self, words: Column) -> Column:
+        """For each of an array of words, of ``FOLDED`` bytes at most, its ids."""
+        return let(self.map, lambda known: F.transform(words, lambda w: self._ids(w, known)))
 
-    def _ids(self, word: Column, rank) -> Column:
+    def _ids(self, word: Column, known: Column) -> Column:
         """The ids of one word: a fold of merges over its bytes."""
-        code = F.lower(F.hex(F.encode(word, "UTF-8")))
-        none = F.lit(None).cast("int")
 
-        def pair(left: Column, right: Column) -> Column:
-            return F.when(left.isNotNull() & right.isNotNull(), rank(F.concat(left, right)))
+        def merged(pair: Column) -> Column:
+            shard = F.get(known, F.pmod(F.xxhash64(pair), F.lit(self.n)).cast("int"))
+            return F.substr(F.call_function("substring_index", shard, pair, F.lit(-1)), F.lit(1), F.lit(2))
 
-        def merge(state: Column, _: Column) -> Column:
-            parts, ranks = state["parts"], state["ranks"]
-            at = F.array_position(ranks, F.array_min(ranks)).cast("int")  # of the pair's left part, from 1
+        def after(parts: Column, found: Column, least: Column) -> Column:
+            """The state when the pair at the first place of ``least`` has been merged; only its neighbours' pairs are looked up."""
+
+            def at(p: Column) -> Column:
+                def whole(new: Column) -> Column:
+                    left = F.when(p > 1, F.concat(F.substr(found, F.lit(1), p - 3), merged(F.substr(new, p - 2, F.lit(4))))).otherwise("")
+                    right = F.when(F.length(new) > p + 1, merged(F.substr(new, p, F.lit(4)))).otherwise("")
+                    return F.struct(new.alias("parts"), F.concat(left, right, F.substr(found, p + 4)).alias("found"))
 
-            def joined(i: Column) -> Column:
-                whole = F.concat(F.get(parts, i - 1), F.get(parts, i))
-                before, after = F.get(parts, i - 2), F.get(parts, i + 1)
-                new = F.concat(F.slice(parts, F.lit(1), i - 1), F.array(whole), F.slice(parts, i + 2, F.size(parts)))
-                left = F.when(i > 1, F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), F.array(pair(before, whole)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(after.isNotNull(), F.concat(F.array(pair(whole, after)), F.slice(ranks, i + 2, F.size(ranks)))).otherwise(F.array().cast("array<int>"))
-                return F.struct(new.alias("parts"), F.concat(left, right).alias("ranks"))
+                return let(F.concat(F.substr(parts, F.lit(1), p - 1), F.lit(MARK), least, F.substr(parts, p + 4)), whole)
 
-            return F.when(F.array_min(ranks).isNull(), state).otherwise(let(at, joined))
+            return let(F.instr(found, F.concat(F.lit(MARK), least)), at)
+
+        def merge(state: Column, _: Column) -> Column:
+            parts, found = state["parts"], state["found"]
+            least = F.array_min(F.split(F.substr(found, F.lit(2)), MARK))
+            done = F.struct(parts.alias("parts"), F.lit("").alias("found"))
+            return F.when(F.length(found) < 2, state).otherwise(let(least, lambda x: F.when(x == NONE, done).otherwise(after(parts, found, x))))
 
         def fold(parts: Column) -> Column:
-            ranks = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p, i: pair(F.get(parts, i), p))
-            start = F.struct(parts.alias("parts"), ranks.alias("ranks"))
-            return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, merge, lambda s: F.transform(s["parts"], rank))
+            pairs = F.transform(F.sequence(F.lit(1), F.length(parts) - 3, F.lit(2)), lambda i: merged(F.substr(parts, i, F.lit(4))))
+            found = F.when(F.length(parts) > 2, F.array_join(pairs, "")).otherwise("")
+            steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+            return F.aggregate(steps, F.struct(parts.alias("parts"), found.alias("found")), merge, lambda s: s["parts"])
 
-        by_byte = lambda c: F.when(rank(c).isNotNull(), F.array(rank(c))).when(F.length(c) == 0, F.array(none)).otherwise(let(F.regexp_extract_all(c, F.lit(".."), F.lit(0)), fold))
-        return let(code, by_byte)
+        start = F.translate(F.regexp_replace(F.decode(word.cast("binary"), "ISO-8859-1"), "(?s)(.)", MARK + "$1"), *self.bytes)
+        each = let(let(start, fold), lambda parts: F.transform(F.sequence(F.lit(2), F.length(parts), F.lit(2)), lambda i: F.ascii(F.substr(parts, i, F.lit(1))) - FIRST))
+        for k, v in self.odd.items():
+            each = F.when(word.cast("binary") == F.lit(k), F.array(F.lit(v))).otherwise(each)
+        return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(each)
 
     def with_decoded(self, df: DataFrame, name: str = "decoded") -> DataFrame:
-        """``df`` and the bytes of its ids: their pieces, one after another."""
-        return df.select("*", F.unhex(F.array_join(let(self.pieces, lambda p: F.transform("ids", lambda i: F.get(p, i))), "")).alias(name))
+        """``df`` and the bytes of its ids: their binary pieces, concatenated. A narrow map; a column of that name is replaced."""
+        kept = others(df, name)
+        df = df.select(*[F.col(f"`{c}`") for c in kept])
+        sent, at = shared(self.spark, pieces_of(self.table)), kept.index("ids")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces = opened(sent)
+            for batch in batches:
+                for part in slices_of(batch, at):
+                    ends, data = joined(part.column(at), *pieces)
+                    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
+
+        return df.mapInArrow(run, StructType([*df.schema, StructField(name, BinaryType())]))
+
+
+def pieces_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the pieces by id."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for k, v in ranks.items():
+        pieces[v] = k
+    return strung(pieces)
+
+
+def numerals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of the decimal ids under n, a blank before each."""
+    return strung([b" %d" % i for i in range(n)])
+
+
+def strung(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum([0, *map(len, parts)], dtype=np.int64), np.frombuffer(b"".join(parts), np.uint8)
+
+
+def joined(ids: pa.ListArray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that each row's ids name, one after another: the rows' offsets and all bytes."""
+    at, numbers = flat(ids)
+    places, size = ragged(offsets, numbers.to_numpy())
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)[at], data[places]
+
+
+def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    return [ranks[word]] if word in ranks else merged_ids(word, ranks)
+
+
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: pairs wait in a heap by rank and place, so the time is n log n."""
+    n = len(word)
+    end, before, after, alive = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    waiting: list[tuple[int, int, int, int]] = []
+
+    def add(i: int) -> None:
+        j = after[i]
+        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
+            waiting.append((r, i, end[i], end[j])) if building else heapq.heappush(waiting, (r, i, end[i], end[j]))
+
+    building = True
+    for i in range(n):
+        add(i)
+    heapq.heapify(waiting)
+    building = False
+    while waiting:
+        _, i, middle, last = heapq.heappop(waiting)
+        if not alive[i] or end[i] != middle or after[i] >= n or end[after[i]] != last:
+            continue  # a part of this pair has been merged since
+        j = after[i]
+        alive[j], end[i], after[i] = False, last, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        add(i)
+        if before[i] >= 0:
+            add(before[i])
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
 def frequent(docs: DataFrame, ranks: Ranks, hot: int) -> pa.Table:
-    """(word, ids) of the words most often seen in a sample of about SAMPLE rows, most frequent first."""
+    """(word, ids) of the words that most rows of a sample of about SAMPLE rows have, most frequent first."""
     total = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30))).limit(SAMPLE + SAMPLE // 2)
-    words = some.select(F.explode(ranks.words(F.col("text"))).alias("word")).groupBy("word").count().filter(F.octet_length("word") <= LONGEST)
+    some = docs.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
+    words = some.select(F.explode(F.array_distinct(ranks.words(F.col("text")))).alias("word")).groupBy("word").count().filter(F.octet_length("word") <= LONGEST)
     best = words.orderBy(F.desc("count"), "word").limit(hot).repartition(shuffle_partitions(docs.sparkSession))
-    return ranks.with_ids(best).toArrow().sort_by([("count", "descending"), ("word", "ascending")]).select(["word", "ids"])
+    rows = best.select("word", "count", F.get(ranks.ids(F.array("word")), F.lit(0)).alias("ids"))
+    return rows.toArrow().sort_by([("count", "descending"), ("word", "ascending")]).select(["word", "ids"])
 
 
 def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,70 +211,89 @@ def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[:-1][rows] - (ends - size), size), size
 
 
-def numbered(batch: pa.RecordBatch, known: pa.Array) -> pa.RecordBatch:
-    """(key, digest, words) to (key, digest, numbers, wide, rare)."""
-    lists = batch.column(2)
-    off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    words = lists.flatten()
-    found = pc.index_in(words, value_set=known)
-    rare_words = words.filter(pc.is_null(found))
-    number = pc.fill_null(found, -1).to_numpy()
-    short = np.where(number < 0, RARE, np.minimum(number, WIDE)).astype(np.uint16)
-    is_wide, is_rare = short == WIDE, short == RARE
-    wide = number[is_wide].astype(np.uint32)
-    at = lambda mask: np.concatenate([[0], np.cumsum(mask)])[off]
-    w, r = at(is_wide), at(is_rare)
-    cut = lambda values, o: pa.array([values[a:b].tobytes() for a, b in zip(o[:-1], o[1:], strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cut(short, off), cut(wide, w), pa.ListArray.from_arrays(pa.array(r.astype(np.int32)), rare_words)], ["key", "digest", "numbers", "wide", "rare"])
-
-
-def assembled(batch: pa.RecordBatch, offsets: np.ndarray, values: np.ndarray, id_col: str) -> pa.RecordBatch:
-    """(key, numbers, wide, own) to (id_col, ids); own lists the ids of the other words in their order."""
-    numbers = batch.column(1).to_pylist()
-    counts = np.array([len(x) // 2 for x in numbers])
-    short = np.frombuffer(b"".join(numbers), np.uint16).astype(np.int64)
-    wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32)
-    own = pc.struct_field(pc.list_flatten(batch.column(3)), "ids")
-    own_off = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64) if len(own) else np.zeros(1, np.int64)
-    own_values = pc.list_flatten(own).to_numpy(zero_copy_only=False).astype(np.int32) if len(own) else np.zeros(0, np.int32)
-    rare = short == RARE
-    row = short
-    row[short == WIDE] = wide
-    row[rare] = len(offsets) - 1 + np.arange(int(rare.sum()))
-    both = np.concatenate([offsets, offsets[-1] + own_off[1:]])
-    places, size = ragged(both, row)
-    ids = np.concatenate([values, own_values])[places]
-    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))], [id_col, "ids"])
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0, and the values that they cut."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return offsets - offsets[0], lists.flatten()
+
+
+def slices_of(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows in runs of about ``limit`` values of a list column."""
+    lists = batch.column(column)
+    ends = lists.offsets.to_numpy()[1:].astype(np.int64) if batch.num_rows else ()
+    at = 0
+    while at < batch.num_rows:
+        begin = ends[at - 1] if at else ends[0] - len(lists[0])
+        to = max(at + 1, int(np.searchsorted(ends, begin + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def cut(batch: pa.RecordBatch, known: pa.Array, offsets: np.ndarray, values: np.ndarray, long_ids) -> tuple[pa.Array, pa.Array]:
+    """Of rows (key, words): segments (ids of known words, number of the other word that follows or null), and the other words, distinct by row.
+
+    ``offsets`` and ``values`` hold the ids of the known words; ``long_ids`` gives those of a word that is too long for the fold.
+    """
+    at, words = flat(batch.column(1))
+    number = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    unknown = np.flatnonzero(number < 0)
+    missing = words.take(pa.array(unknown))
+    long = np.flatnonzero(pc.binary_length(missing.cast(pa.binary())).to_numpy(zero_copy_only=False) > FOLDED)
+    extra = [np.array(long_ids(missing[int(i)].as_py().encode()), np.int32) for i in long]
+    number[unknown[long]] = len(offsets) - 1 + np.arange(len(long))
+    all_offsets, all_values = np.concatenate([offsets, offsets[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64)]), np.concatenate([values, *extra])
+    # Ids of the known words, one after the other; ends[w] is how many there are up to and without word w.
+    is_other = number < 0
+    size = np.where(is_other, 0, np.diff(all_offsets)[np.where(is_other, 0, number)] if len(all_offsets) > 1 else 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    ids = all_values[ragged(all_offsets, number[~is_other])[0]]
+    # A row's segments end at its other words and at its own end.
+    unknown = np.flatnonzero(is_other)
+    row_of = np.searchsorted(at, unknown, side="right") - 1
+    n_others = np.bincount(row_of, minlength=batch.num_rows)
+    stops = np.insert(unknown, np.cumsum(n_others), at[1:])
+    closing = np.insert(np.zeros(len(unknown), bool), np.cumsum(n_others), True)
+    # Other words of a row are numbered in the order of their first occurrence.
+    codes = words.take(pa.array(unknown)).dictionary_encode()
+    distinct = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64) + row_of * (len(codes.dictionary) + 1)
+    unique, first, inverse = np.unique(distinct, return_index=True, return_inverse=True)
+    own_counts = np.bincount(row_of[first], minlength=batch.num_rows)
+    own_at = np.concatenate([[0], np.cumsum(own_counts)])
+    follow = np.full(len(stops), -1, np.int64)
+    follow[~closing] = inverse - own_at[row_of]
+    before = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends[stops]]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+    segment = pa.StructArray.from_arrays([before, pa.array(follow.astype(np.int32), mask=closing)], ["before", "other"])
+    segments = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_others + 1)]).astype(np.int32)), segment)
+    own = codes.dictionary.take(pa.array(unique % (len(codes.dictionary) + 1)))
+    return segments, pa.ListArray.from_arrays(pa.array(own_at.astype(np.int32)), own.cast(pa.string()))
 
 
 def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id_col, ids) for every row of ``docs``."""
-    spark, n = docs.sparkSession, shuffle_partitions(docs.sparkSession)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    base = docs.select(docs[id_col].alias("key"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("digest"))
-    known = frequent(base, ranks, hot).combine_chunks()
-    lists = pa.chunked_array(known["ids"]).combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int32()))
-    sent = shared(spark, (known["word"].combine_chunks() if known.num_rows else pa.array([], pa.string()), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int32)))
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    base = docs.select(F.col(f"`{id_col}`").alias("key"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("digest"))
+    known = frequent(base, ranks, hot) if hot else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    offsets, values = flat(pa.concat_arrays(known["ids"].chunks)) if known.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int32()))
+    words = pa.concat_arrays(known["word"].chunks) if known.num_rows else pa.array([], pa.string())
+    sent = spark.sparkContext.broadcast((words, offsets, values.to_numpy().astype(np.int32)))
+    table = shared(spark, ranks.table)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = opened(sent)[0]
-        for batch in batches:
-            yield numbered(batch, words)
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, offsets, values = sent.value
+        by_heap: list[dict] = []
+
+        def long_ids(word: bytes) -> list[int]:
+            if not by_heap:
+                by_heap.append(opened(table))
+            return heap_ids(word, by_heap[0])
 
-    def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, offsets, values = opened(sent)
         for batch in batches:
-            yield assembled(batch, offsets, values, id_col)
-
-    rows = base.select("key", "digest", ranks.words(F.col("text")).alias("words")).mapInArrow(coded, f"key {kind}, digest long, numbers binary, wide binary, rare array<string>")
-    rows = stored(rows)  # it is read twice, and Python stages are not shared within a plan
-    rare = rows.select("key", "digest", F.posexplode("rare").alias("place", "word")).repartition(n, "word")
-    each = ranks.with_ids(rare.select("word").distinct())
-    back = rare.join(each.hint("shuffle_hash"), "word").select("key", "digest", F.struct("place", "ids").alias("x")).repartition(n, "key", "digest")
-    own = back.groupBy("key", "digest").agg(F.sort_array(F.collect_set("x")).alias("own")).select(F.col("key").alias("k"), F.col("digest").alias("d"), "own")
-    rows = rows.select("key", "digest", "numbers", "wide").repartition(n, "key", "digest")
-    both = rows.join(own, rows.key.eqNullSafe(own.k) & (rows.digest == own.d), "left")
-    empty = F.array().cast("array<struct<place:int,ids:array<int>>>")
-    return both.select("key", "numbers", "wide", F.coalesce("own", empty).alias("own")).mapInArrow(joined_up, f"`{id_col}` {kind}, ids array<int>")
+            for part in slices_of(batch, 1):
+                segments, other = cut(part, words, offsets, values, long_ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), segments, other], ["key", "segments", "other"])
+
+    rows = base.select("key", ranks.words(F.col("text")).alias("words")).mapInArrow(split, f"key {kind}, segments array<struct<before:array<int>,other:int>>, other array<string>")
+    whole = lambda own: F.flatten(F.transform("segments", lambda s: F.when(s["other"].isNull(), s["before"]).otherwise(F.concat(s["before"], F.get(own, s["other"])))))
+    return rows.select(F.col("key").alias(id_col), let(ranks.ids(F.col("other")), whole).alias("ids"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, langid, media, mixing, neardup, quality, substring, toxicity, urls, wordpiece
-from emberline.llm.common import read
+from emberline.llm.common import opened, read, shared
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -82,9 +87,19 @@ def byte_ranks(spark: SparkSession) -> bpe.Ranks:
 
 
 def digests(rows: DataFrame, ranks: bpe.Ranks) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids)."""
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return ranks.with_decoded(rows).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids): hashes of what the ids spell in decimals and of what they decode to."""
+    pieces = shared(rows.sparkSession, (bpe.pieces_of(ranks.table), bpe.numerals(max(ranks.table.values()) + 1)))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = opened(pieces)
+        for batch in batches:
+            for part in bpe.slices_of(batch, 1):
+                decoded, listed = (bpe.joined(part.column(1), *t) for t in tables)
+                sha = lambda ends, data, skip: [hashlib.sha256(data[a + skip : b]).hexdigest() for a, b in itertools.pairwise(ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(part.column(1).offsets.to_numpy()), pa.int64()), pa.array(sha(*listed, 1), pa.string()), pa.array(sha(*decoded, 0), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,36 @@ def test_as_tiktoken(spark):
             assert bytes(r.text) == t.encode()
 
 
+def test_long_words_and_slices(spark):
+    """Words over the fold's length go through the heap; a text of one word of a million letters ends."""
+    import base64
+
+    ranks = queries.byte_ranks(spark)
+    table = ranks.table
+    assert table == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.vocabulary(), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeinorst", k=k)) for k in (1, 2, 3, 17, 127, 128, 129, 5000)] + ["ab" * 400, "a" * 3000, "é" * 600]
+    for w in words:
+        assert bpe.heap_ids(w.encode(), table) == plain.encode_ordinary(w)
+    texts = [" ".join(words), "x " + "".join(rng.choices("etaoinshr", k=1_000_000)), *words]
+    df = spark.createDataFrame([(i, t, 7, 8) for i, t in enumerate(texts)], "doc_id long, text string, IDS int, `words` int").repartition(2)
+    rows = ranks.with_decoded(bpe.encoded(df, ranks, hot=3)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        assert list(r.ids) == plain.encode_ordinary(texts[r.doc_id])
+        assert bytes(r.decoded) == texts[r.doc_id].encode()
+
+
+def test_runs_of_words():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([["a"] * n for n in (3, 0, 9, 1, 1, 4)])], ["key", "words"])
+    parts = list(bpe.slices_of(batch.slice(1), 1, 4))
+    assert [p.column(0).to_pylist() for p in parts] == [[1], [2], [3, 4], [5]]
+    assert not list(bpe.slices_of(batch.slice(6), 1, 4))
+
+
 def test_shared_ids_and_empty(spark):
     ranks = queries.byte_ranks(spark)
     df = spark.createDataFrame([(1, "one text"), (1, "other text"), (1, "one text"), (None, "third")], "doc_id long, text string")
