@@ -9,8 +9,10 @@ over a text, and runs of words of one language, which show code-switching.
 Chains are computed exactly and in step: blocks of words give transfer matrices, whose products carry the messages from
 block to block; so very long texts cost no more a word than short ones.
 
-A null text or one without a letter is ``und`` with score 0. Repeated rows get equal results. Without training data every
-text is ``und``.
+A null text or one without a letter is ``und`` with score 0. Repeated rows get equal results, ties go to the first language
+by name. Without training data every text is ``und``. An empty table gives an empty result; further columns do not matter. A
+very long text is labelled at once, in memory that grows with its words and, a word, with the square of the number of languages; texts
+are taken a few at a time, the fewer the more languages there are.
 """
 
 from __future__ import annotations
@@ -175,13 +177,13 @@ def learned(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", tex
 def labelled(docs: DataFrame, model: Emissions, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, runs): runs of words (start, end exclusive) of one language. A narrow map."""
     sent = shared(docs.sparkSession, model)
-    source = docs.select(docs[id_col], docs[text_col].cast("string").alias("_text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = opened(sent)
         for batch in batches:
-            for part in slices(batch, "_text", 4 << 20):
+            for part in slices(batch, "_text", max(1 << 16, (4 << 20) * 64 // max(64, len(m.langs) ** 2))):
                 yield labels_of(part, m, id_col)
 
     return source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, runs array<struct<start:int,end:int,lang:string>>")
@@ -201,11 +203,10 @@ def labels_of(part: pa.RecordBatch, m: Emissions, id_col: str) -> pa.RecordBatch
         code = coded.indices.to_numpy()
         each = m.scores(*features(data, off), m.entry(distinct.hashes()))
         marginal, _ = forward_backward(each[code], words.offsets, m.transitions)
-        total = np.concatenate([np.zeros((1, len(m.langs))), np.cumsum(marginal, axis=0)])[words.offsets]
-        share = np.diff(total, axis=0) / np.maximum(words.counts(), 1)[:, None]
         best = marginal.argmax(axis=1)
         has = words.counts() > 0
-        lang[has], score[has] = share[has].argmax(axis=1), np.clip(share[has].max(axis=1), 0, 1)
+        share = np.add.reduceat(marginal, words.offsets[:-1][has], axis=0) / words.counts()[has, None]  # text by text, so that equal texts have equal sums
+        lang[has], score[has] = share.argmax(axis=1), np.clip(np.round(share.max(axis=1), 9), 0, 1)
         change = np.ones(len(best), bool)
         change[1:] = best[1:] != best[:-1]
         change[words.offsets[:-1][has]] = True
