@@ -75,3 +75,14 @@ def test_stages(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, str(tmp_path))
         assert stage.columns == columns and stage.dtypes == df.dtypes
+
+
+def test_empty_and_odd_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    prose = " ".join(f"plain{i} words" for i in range(30))
+    rows = [(None, prose, None, None, None), (1, None, "en", "a", 0), (2, prose, "en", None, 0), (2, prose, "en", None, 0), (3, f"{prose} and some more of it", None, "a", None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert {r.doc_id for r in found} <= {None, 2} and any(r.doc_id == 2 for r in found)
