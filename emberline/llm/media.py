@@ -7,7 +7,9 @@ A payload longer than one picture can hold (65,535 lines) becomes several pictur
 ``thumbnails`` reads any baseline JPEG of 8-bit samples: it parses the markers, Huffman-decodes the scan (AC codes are
 read and skipped) and returns the luminance thumbnail; restart intervals of all pictures are decoded in step by numpy.
 
-Null text counts as empty; an empty text is stored as 576 bytes of 255. Repeated rows give repeated results.
+Null text counts as empty; an empty text is stored as 576 bytes of 255. Repeated rows give repeated results. A very long text
+is held whole by one task, with some tens of bytes of memory for each of its own. An empty table gives an empty result; further
+columns do not matter, nor does their order.
 """
 
 from __future__ import annotations

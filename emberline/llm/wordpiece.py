@@ -5,7 +5,8 @@ longest-match split leaves after its complete pieces are taken off, and ``popped
 precomputed, so a word is counted in one pass over its bytes, in time linear in its length, and no piece is built.
 
 Splits are by word: a word is one space and the bytes up to the next ASCII white space. A byte that no piece covers
-counts as one token. Null and empty texts have 0 words and 0 tokens. Repeated rows give repeated results.
+counts as one token. Null and empty texts have 0 words and 0 tokens. Repeated rows give repeated results. A very long text
+or word costs time and memory in proportion to its length. An empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
