@@ -23,8 +23,8 @@ SAMPLE_ROWS, TIMES = 512, 16
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is evaluated once a row, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is evaluated once a row, however often the body uses it: a fold of nothing that starts and ends with it."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda whole, _: whole, body)
 
 
 def without(text: Column, pattern: str) -> Column:
