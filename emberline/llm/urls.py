@@ -25,6 +25,8 @@ from emberline.llm.common import checkpointed
 DAMPING = 0.85
 #: Rounds between checkpoints, and the mass that may be missing when they end (all seeds of a kind have a mass of 1).
 STRIDE, TOLERANCE = 3, 1e-6
+#: Ways between hosts to a partition, and ways up to which the scores (no more than these and the seeds) go to all tasks.
+WAYS, BROADCAST = 100_000, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -73,11 +75,15 @@ def returned(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, d
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
     steps = checkpointed(edges.join(out, ["kind", "src"]).select(F.col("kind").alias("k"), "src", "dst", (F.col("n") / F.col("total")).alias("share")))
     source = checkpointed(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).cast("double").alias("score")))
+    # Rounds over a small graph would otherwise leave a file for each of many nearly empty partitions.
+    size = steps.count() + source.count()
+    parts, everywhere = 1 + size // WAYS, F.broadcast if size <= BROADCAST else lambda scores: scores
+    steps, source = steps.coalesce(parts), source.coalesce(parts)
     masses = {r["kind"]: r["mass"] / (1 - damping) for r in source.groupBy("kind").agg(F.sum("score").alias("mass")).collect()}
 
     def moved(scores: DataFrame) -> DataFrame:
-        sent = scores.join(steps, (scores.kind == steps.k) & (scores.host == steps.src)).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        return source.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        sent = steps.join(everywhere(scores), (scores.kind == steps.k) & (scores.host == steps.src)).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
+        return source.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score")).coalesce(parts)
 
     scores, before = source, {kind: (1 - damping) * m for kind, m in masses.items()}
     while masses:
