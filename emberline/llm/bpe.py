@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -43,7 +44,7 @@ FIRST, MARK, NONE = 0xE000, "\u0100", "\U0010ffff"
 
 def constant(value, kind: str) -> Column:
     """A value as one literal of a plan; the vocabulary bounds its size."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
 def pairs_of(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -51,14 +52,12 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[str, int]:
     return {MARK + chr(FIRST + ranks[k[:i]]) + MARK + chr(FIRST + ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
 
 
-def sharded(spark: SparkSession, pairs: dict[str, int]) -> tuple[Column, int]:
+def sharded(pairs: dict[str, int]) -> tuple[Column, int]:
     """A literal array of strings of entries (pair, merged part); a pair stands in the string that its hash names."""
     n = 1 << max(4, min(SHARDS.bit_length() - 1, len(pairs).bit_length()))
-    keys = pa.table({"k": pa.array(list(pairs), pa.string())})
-    found = spark.createDataFrame(keys).select("k", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int").alias("s")).toArrow()
     shards = [MARK + NONE] * n  # what is not found is read as the first two
-    for k, s in zip(found["k"].to_pylist(), found["s"].to_pylist(), strict=True):
-        shards[s] += k + MARK + chr(FIRST + pairs[k])
+    for k, v in pairs.items():  # Spark's xxhash64 has the seed 42 and is signed, which a power of two does not mind
+        shards[xxhash.xxh64_intdigest(k.encode(), 42) % n] += k + MARK + chr(FIRST + v)
     return constant(shards, "array<string>"), n
 
 
@@ -69,7 +68,7 @@ class Ranks:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a rank: {missing}")
         self.spark, self.table, self.pattern = spark, ranks, "(?U)" + pattern
-        self.map, self.n = sharded(spark, pairs_of(ranks))
+        self.map, self.n = sharded(pairs_of(ranks))
         self.bytes = "".join(map(chr, range(256))), "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
         #: Pieces that merging would not give: a word that is one of them has its id all the same.
         self.odd = {k: v for k, v in ranks.items() if merged_ids(k, ranks) != [v]}
@@ -195,13 +194,12 @@ def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def frequent(docs: DataFrame, ranks: Ranks, hot: int) -> pa.Table:
-    """(word, ids) of the words that most rows of a sample of about SAMPLE rows have, most frequent first."""
+    """(word, ids) of the words that most rows of a sample of about SAMPLE rows have."""
     total = docs.count()
     some = docs.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
     words = some.select(F.explode(F.array_distinct(ranks.words(F.col("text")))).alias("word")).groupBy("word").count().filter(F.octet_length("word") <= LONGEST)
     best = words.orderBy(F.desc("count"), "word").limit(hot).repartition(shuffle_partitions(docs.sparkSession))
-    rows = best.select("word", "count", F.get(ranks.ids(F.array("word")), F.lit(0)).alias("ids"))
-    return rows.toArrow().sort_by([("count", "descending"), ("word", "ascending")]).select(["word", "ids"])
+    return best.select("word", F.get(ranks.ids(F.array("word")), F.lit(0)).alias("ids")).toArrow()
 
 
 def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,6 +274,7 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
     known = frequent(base, ranks, hot) if hot else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
     offsets, values = flat(pa.concat_arrays(known["ids"].chunks)) if known.num_rows else (np.zeros(1, np.int64), pa.array([], pa.int32()))
     words = pa.concat_arrays(known["word"].chunks) if known.num_rows else pa.array([], pa.string())
+    del known
     sent = spark.sparkContext.broadcast((words, offsets, values.to_numpy().astype(np.int32)))
     table = shared(spark, ranks.table)
     kind = docs.schema[id_col].dataType.simpleString()
