@@ -5,9 +5,10 @@ a bounded sample of labelled documents (``examples`` a class, whole texts) and a
 these terms are then counted over all documents. Examples and documents are TF-IDF vectors of unit length. Terms that no
 example has are in no vector; they would change the order of no neighbours.
 
-The index holds for each term its postings in blocks of ``BLOCK`` examples and, for each term and block, the greatest
-weight; examples are numbered so that alike ones share a block. A query sorts the blocks by the bound that these weights give
-and reads blocks, a few at a time, until no bound exceeds the k-th best similarity, which makes the k nearest examples exact.
+The index holds postings of each term in blocks of ``BLOCK`` examples; examples are numbered so that alike ones share a block.
+A query reads the postings of its rarer terms and adds for each block what its common terms can give at most (their greatest
+weights there). The postings of common terms are then read in the blocks of the greatest bounds, and after that in all blocks whose
+bound reaches the k-th best similarity found so far, which makes the k nearest examples exact.
 Neighbours vote with weight 1 / (1 - similarity + 0.05) times the number of documents that an example stands for; isotonic
 regression over the examples themselves (each left out of its own vote) turns votes into calibrated scores. All neighbours
 that vote are the evidence. A document without any term has the rate of such examples.
@@ -37,6 +38,10 @@ BLOCK, NEIGHBOURS, STEM = 64, 15, 4
 EXAMPLES = 2000
 #: Frequent terms and directions by which examples are numbered.
 COMMON, DIRECTIONS = 256, 4
+#: Terms of this share of the examples are common.
+MANY = 1 / 16
+#: Blocks that a query reads first, and queries that go together.
+FIRST, TOGETHER = 4, 64
 PUNCTUATION = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -46,7 +51,11 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class Index:
-    """Examples as unit vectors over terms, in postings of blocks with their greatest weights."""
+    """Examples as unit vectors over terms, in blocks of ``BLOCK``.
+
+    Terms of few examples have postings. Terms of many (a share of ``MANY``) have a row over all examples instead, in which a
+    block's part is its postings, and their greatest weights by block.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int):
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK) or 1
@@ -54,48 +63,56 @@ class Index:
         terms = np.fromiter((t for v in vectors for t in v), np.int64, sizes.sum())
         weights = np.fromiter((w for v in vectors for w in v.values()), float, sizes.sum())
         owner = np.repeat(np.arange(self.n), sizes)
+        many = np.bincount(terms, minlength=n_terms) >= max(2, MANY * self.n)
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        on = many[terms]
+        dense = np.zeros((int(many.sum()), self.blocks * BLOCK))
+        dense[self.row[terms[on]], owner[on]] = weights[on]
+        dense = dense.reshape(len(dense), self.blocks, BLOCK)
+        self.dense, self.most = np.ascontiguousarray(dense.transpose(1, 0, 2)), dense.max(axis=2, initial=0.0)
+        terms, owner, weights = terms[~on], owner[~on], weights[~on]
         order = np.lexsort((owner, terms))
-        terms, self.ids, self.weights = terms[order], owner[order].astype(np.int32), weights[order]
-        # An entry is a term's part in a block: its postings are starts[e]:starts[e + 1]; a term's entries are first[t]:first[t + 1].
-        place = terms * self.blocks + self.ids // BLOCK
-        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
-        self.starts = np.append(starts, len(place))
-        self.block = (place[starts] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weights, starts) if len(starts) else np.zeros(0)
-        self.first = np.searchsorted(place[starts] // self.blocks, np.arange(n_terms + 1))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k most similar examples with a similarity over 0, equal ones by their number, and their similarities."""
-        first = self.first[terms]
-        entries, owner = ranges(first, self.first[terms + 1] - first)
-        weights = weights[owner]
-        block = self.block[entries]
-        bound = np.bincount(block, weights * self.most[entries], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        found, similar = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < self.blocks:
-            take = order[at : at + step]
-            take = take[(bound[take] > 0) & ((len(found) < k) | (bound[take] + 1e-9 >= (similar[-1] if len(similar) else 0)))]
-            if not len(take):  # bounds fall, so no later block can do better
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[take] = True
-            e = np.flatnonzero(chosen[block])
-            begin = self.starts[entries[e]]
-            post, of = ranges(begin, self.starts[entries[e] + 1] - begin)
-            score = np.bincount(self.ids[post], weights[e][of] * self.weights[post], self.n)
-            if without >= 0:
-                score[without] = 0
-            some = np.flatnonzero(score > 0)
-            if len(some) > k:
-                least = np.partition(score[some], -k)[-k]
-                some = some[score[some] >= least - 2e-9]
-            found, similar = np.concatenate([found, some]), np.concatenate([similar, np.round(score[some], 9)])
-            best = np.lexsort((found, -similar))[:k]
-            found, similar = found[best], similar[best]
-            at, step = at + step, step * 2
-        return found, similar
+        self.ids, self.weights = owner[order].astype(np.int32), weights[order]
+        self.first = np.searchsorted(terms[order], np.arange(n_terms + 1))
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights): the k most similar examples with a similarity over 0, equal ones by their number, and their similarities.
+
+        Queries go together: each reads its most promising blocks, and then all whose bound reaches the k-th best similarity found there.
+        """
+        if not queries:
+            return []
+        q, width = len(queries), self.blocks * BLOCK
+        owner = np.repeat(np.arange(q), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate([x[i] for x in queries]) for i in (0, 1))
+        few = self.row[terms] < 0
+        first = self.first[terms[few]]
+        post, of = ranges(first, self.first[terms[few] + 1] - first)
+        score = np.bincount(owner[few][of] * width + self.ids[post], weights[few][of] * self.weights[post], q * width).astype(float).reshape(q, self.blocks, BLOCK)
+        common = np.zeros((q, len(self.most)))
+        common[owner[~few], self.row[terms[~few]]] = weights[~few]
+        bound = score.max(axis=2) + common @ self.most
+        read, least = np.zeros((q, self.blocks), bool), np.zeros(q)
+        wanted = bound >= np.sort(bound, axis=1)[:, max(0, self.blocks - FIRST)][:, None]
+        for _ in range(2):
+            wanted &= (bound > 0) & ~read
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                score[rows, b] += common[rows] @ self.dense[b]
+            read |= wanted
+            full = np.where(read[:, :, None], score, 0).reshape(q, width)
+            if without is not None:
+                full[np.arange(q), without] = 0
+            if width > k:
+                least = np.partition(full, width - k, axis=1)[:, width - k]
+            wanted = bound + 1e-9 >= least[:, None]
+        out = []
+        for i in range(q):
+            some = np.flatnonzero((full[i] > 0) & (full[i] >= least[i] - 2e-9))
+            similar = np.round(full[i, some], 9)
+            best = np.lexsort((some, -similar))[:k]
+            out.append((some[best], similar[best]))
+        return out
 
 
 def alike_together(counts: list[Counter]) -> np.ndarray:
@@ -146,9 +163,10 @@ class Model:
     def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the known terms, by number."""
         get = self.terms.get
-        known = sorted((i, n) for t, n in words.items() if (i := get(t)) is not None)
-        both = np.array(known, np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+        known = [(i, n) for t, n in words.items() if (i := get(t)) is not None]
+        terms, n = np.array([i for i, _ in known], np.int64), np.array([n for _, n in known], np.int64)
+        order = np.argsort(terms)
+        return terms[order], n[order]
 
     def vector(self, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
         v = (1 + np.log(n)) * self.idf[terms]
@@ -169,17 +187,24 @@ class Model:
         empty = np.array([not len(t) for t, _ in rows], bool)
         self.rate = (float(self.stand[empty] @ self.labels[empty]) + rate) / (float(self.stand[empty].sum()) + 1)
         some = np.flatnonzero(~empty)
-        votes = [self.vote(*self.index.nearest(rows[i][0], vectors[i], NEIGHBOURS, i)) for i in some]
+        votes = []
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            votes += [self.vote(*near) for near in self.index.nearest([(rows[i][0], vectors[i]) for i in part], NEIGHBOURS, part)]
         self.steps = isotonic(votes, self.labels[some].astype(float).tolist(), self.stand[some].tolist()) if len(some) else ([], [])
 
-    def score(self, terms: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        near, similar = self.index.nearest(terms, self.vector(terms, n), NEIGHBOURS)
-        if not len(near) or not self.steps[0]:
-            return min(1.0, max(0.0, self.rate)), near[:0], similar[:0]
-        vote = self.vote(near, similar)
-        at = int(np.searchsorted(self.steps[0], vote, side="right")) - 1
-        # The vote itself orders documents within a step of the calibration.
-        return min(1.0, max(0.0, 0.98 * self.steps[1][max(at, 0)] + 0.02 * vote)), near, similar
+    def scores(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and their similarities for texts given as (terms, counts)."""
+        out = []
+        for near, similar in self.index.nearest([(t, self.vector(t, n)) for t, n in texts], NEIGHBOURS):
+            if len(near) and self.steps[0]:
+                vote = self.vote(near, similar)
+                at = int(np.searchsorted(self.steps[0], vote, side="right")) - 1
+                # The vote itself orders documents within a step of the calibration.
+                out.append((min(1.0, max(0.0, 0.98 * self.steps[1][max(at, 0)] + 0.02 * vote)), near, similar))
+            else:
+                out.append((min(1.0, max(0.0, self.rate)), near[:0], similar[:0]))
+        return out
 
 
 def examples_of(docs: DataFrame, ids: list, id_col: str, text_col: str) -> dict[int, Counter]:
@@ -245,21 +270,14 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = opened(sent), {}
+        m = opened(sent)
         ids = np.array(m.ids, np.int64)
         for batch in batches:
-            scores, near, similar = [], [np.zeros(0, np.int64)], [np.zeros(0)]
-            for text in batch.column(1):
-                terms, n = m.counts(Counter(terms_of(text.as_py())))
-                key = (terms.tobytes(), n.tobytes())
-                if key not in known:
-                    if len(known) > 10_000:  # a memo of equal vectors, nothing more
-                        known.clear()
-                    known[key] = m.score(terms, n)
-                s, a, b = known[key]
-                scores.append(s)
-                near.append(a)
-                similar.append(b)
+            found, texts = [], batch.column(1)
+            for start in range(0, len(texts), TOGETHER):
+                found += m.scores([m.counts(Counter(terms_of(t.as_py()))) for t in texts.slice(start, TOGETHER)])
+            scores = [x[0] for x in found]
+            near, similar = [np.zeros(0, np.int64), *(x[1] for x in found)], [np.zeros(0), *(x[2] for x in found)]
             at = pa.array(np.cumsum([len(a) for a in near]).astype(np.int32))
             near = np.concatenate(near)
             evidence = pa.StructArray.from_arrays([pa.array(ids[near]), pa.array(np.concatenate(similar)), pa.array(m.labels[near].astype(np.int32))], ["id", "similarity", "label"])

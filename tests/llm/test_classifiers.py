@@ -76,11 +76,14 @@ def test_nearest_is_exact():
         size = sum(x * x for x in v.values()) ** 0.5
         vectors.append({t: x / size for t, x in v.items()} if v else {})
     index = toxicity.Index(vectors, 40)
-    for q in vectors[:60]:
-        scores = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors))
-        terms = np.array(sorted(q), np.int64)
-        near, similar = index.nearest(terms, np.array([q[t] for t in terms]), 7)
-        assert [(i, -s) for i, s in zip(near, similar, strict=True)] == [(i, s) for s, i in scores if s < 0][:7]
+    near = lambda qs, k, **o: index.nearest([(t := np.array(sorted(q), np.int64), np.array([q[i] for i in t])) for q in qs], k, **o)
+    for k in (1, 7, 600):
+        for found, q in zip(near(vectors[:60], k), vectors[:60], strict=True):
+            scores = sorted((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors))
+            assert [(i, -s) for i, s in zip(*found, strict=True)] == [(i, s) for s, i in scores if s < 0][:k]
+    for i, (ids, _) in enumerate(near(vectors[:60], 7, without=np.arange(60))):
+        assert i not in ids
+    assert index.nearest([], 3) == []
 
 
 def test_toxicity(spark):
