@@ -11,13 +11,14 @@ that length are keys, and no pair is missed.
 
 Verification: two texts are linked if the edit distance of their word sequences, by an alignment confined to the band that
 the threshold leaves, is at most (1 - similarity) of the longer one. Before texts are fetched, signatures of fixed size that
-bound the distance from below rule out most pairs that are not.
+bound the distance from below rule out most pairs that are not; texts of buckets with several components get finer ones.
 
 Exact copies are taken together first. Then each bucket's texts are aligned with its first, and components are formed.
 Where a bucket still holds several components, the pairs between two components are tried in two rounds: the
 likeliest two in a bucket, then all that are left; what the first joins needs no further pairs. So no link between candidates is lost, and a
-group of thousands of copies costs a few alignments a text. A bucket of more than ``TILE`` texts is replaced by smaller ones
-that lose no similar pair: similar texts share most of their words, so they share one of the rarest words of both (a prefix
+group of thousands of copies costs a few alignments a text. Buckets of more than ``MANY`` texts that overlap, as those of texts with a
+passage in common do, give way to one bucket of all their texts where that takes no more rows, so such texts meet once instead of
+once a key. Any other bucket of more than ``TILE`` texts is replaced by smaller ones that lose no similar pair: similar texts share most of their words, so they share one of the rarest words of both (a prefix
 filter over all words, rarest first).
 
 Ids are whole numbers (others raise a TypeError). Null texts are alike to nothing; rows with a null id get a null class. Empty
@@ -43,10 +44,14 @@ from emberline.llm.components import components
 K, SKETCHES, LENGTH = 2, 64, 3
 #: Slots of a signature: bits and counters.
 BITS, COUNTERS = 1024, 256
+#: Counters of the finer signatures that texts of mixed buckets have besides.
+WIDE = 2048
 #: Pairs whose shorter text has at most this many words share a key for certain.
 SHORT = 52
 #: Texts of one bucket that a task compares with as many others at a time.
 TILE = 1024
+#: Texts of a bucket from which on it is taken together with those that it overlaps.
+MANY = 128
 #: Pairs between two components that a round tries in a bucket; the last round tries all.
 ROUNDS = (2, None)
 #: Counters of how frequent words are, by hash.
@@ -155,6 +160,27 @@ def signatures(words: Words, hashes: np.ndarray, n_texts: int) -> np.ndarray:
     return np.concatenate([np.packbits(bits, axis=1), np.minimum(counted, 255).astype(np.uint8).reshape(n_texts, COUNTERS)], axis=1)
 
 
+def wide_counts(words: Words, hashes: np.ndarray, n_texts: int) -> np.ndarray:
+    """Words of each text by hash in ``WIDE`` counters that stop at 255, for texts whose many words share the counters of a signature."""
+    counted = np.bincount(words.text_of() * WIDE + (hashes >> np.uint64(30)).astype(np.int64) % WIDE, minlength=n_texts * WIDE)
+    return np.minimum(counted, 255).astype(np.uint8).reshape(n_texts, WIDE)
+
+
+def finely_signed(docs: DataFrame) -> DataFrame:
+    """(id, n, signature, wide) of rows (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for at in range(0, part.num_rows, TILE):  # of very short texts, the signatures are what takes memory
+                    some = part.slice(at, TILE)
+                    words = Words(single(some.column("text")))
+                    signed = [pa.array([x.tobytes() for x in f(words, words.hashes(), some.num_rows)], pa.binary()) for f in (signatures, wide_counts)]
+                    yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(words.counts(), pa.int32()), *signed], ["id", "n", "signature", "wide"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, signature binary, wide binary")
+
+
 def parted(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bits, as 64-bit numbers, and the counters of signatures."""
     both = np.frombuffer(b"".join(signed), np.uint8).reshape(len(signed), BITS // 8 + COUNTERS)
@@ -338,6 +364,7 @@ def across(table: pa.Table, similarity: float, quota: int | None) -> pa.Table:
     """Of one tile: pairs of different components that the signatures leave possible, the likeliest ``quota`` of each two components. Side 0 meets side 1, or in a tile of the diagonal itself."""
     side, ids, comp, n = (table[c].to_numpy() for c in ("side", "id", "component", "n"))
     bits, counters = parted(table["signature"].to_pylist())
+    wide = np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint8).reshape(len(ids), WIDE)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if (side == 1).any() else left
     found = [np.zeros((3, 0), np.int64)]
@@ -347,7 +374,9 @@ def across(table: pa.Table, similarity: float, quota: int | None) -> pa.Table:
         other, most = right[keep], most[keep]
         keep = least_by_bits(bits[other], bits[i]) <= most
         other, most = other[keep], most[keep]
-        least = least_distance(counters[other], counters[i])
+        keep = least_distance(counters[other], counters[i]) <= most
+        other, most = other[keep], most[keep]
+        least = least_distance(wide[other], wide[i])
         found.append(np.stack([np.full(len(other), i), other, least])[:, least <= most])
     x, y, least = np.concatenate(found, axis=1)
     swap = ids[x] > ids[y]
@@ -375,7 +404,7 @@ def unresolved(found: DataFrame, signed: DataFrame, tested: DataFrame, similarit
     spread = found.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     # A text of tile t goes to the pairs of tiles (t, x) and (x, t); which side it is on follows from the order.
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).join(signed, "id")
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "signature")
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "component", "n", "signature", "wide")
     pairs = spread.groupBy("key", "i", "j").applyInArrow(lambda t: across(t, similarity, quota), "v long, u long").distinct()
     return pairs.join(tested, ["v", "u"], "left_anti")
 
@@ -415,14 +444,34 @@ def rarest_words(docs: DataFrame, similarity: float) -> DataFrame:
     return docs.mapInArrow(run, "key long, id long")
 
 
+def gathered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mixed buckets of which large ones that overlap are one: those that stay as they were, and those of all texts of several.
+
+    Texts that shared a bucket still do. Buckets become one only if its tiles take no more rows than the buckets did.
+    """
+    large = checkpointed(found.filter(F.col("size") > MANY))
+    if large.isEmpty():
+        return found, large
+    leads = large.groupBy("key").agg(F.min("id").alias("v"))
+    linked = components(large.join(leads, "key").select(F.col("id").alias("u"), "v")).withColumnRenamed("component", "cluster")
+    placed = checkpointed(large.join(linked, "id"))
+    texts = placed.groupBy("cluster", "id").agg(F.first("component").alias("component"), F.count("*").alias("rows"))
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows")).filter(F.col("texts") * F.ceil(F.col("texts") / TILE) <= F.col("rows"))
+    sizes = checkpointed(sizes)
+    together = texts.drop("rows").join(sizes, "cluster").select(F.xxhash64("cluster", F.lit("cluster")).alias("key"), "id", "component", F.col("texts").alias("size"))
+    apart = placed.join(sizes, "cluster", "left_anti").select("key", "id", "component", "size")
+    return checkpointed(found.filter(F.col("size") <= MANY).unionByName(apart)), checkpointed(together)
+
+
 def without_large(found: DataFrame, comp: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Mixed buckets, of which those of more than ``TILE`` texts have given way to buckets of their texts' rarest words."""
+    """Mixed buckets, of which large ones that overlap are one, and others of more than ``TILE`` texts have given way to buckets of their texts' rarest words."""
+    found, together = gathered(found)
     large = found.filter(F.col("size") > TILE)
     if large.isEmpty():
-        return found
+        return found.unionByName(together)
     texts = needed(docs, large.select("id").distinct())
     more = mixed(rarest_words(texts, similarity).distinct(), comp)
-    return checkpointed(found.filter(F.col("size") <= TILE).unionByName(more))
+    return checkpointed(found.filter(F.col("size") <= TILE).unionByName(more).unionByName(together))
 
 
 def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES) -> DataFrame:
@@ -446,7 +495,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
     tested = checkpointed(possible(checkpointed(star), known, similarity))
     comp = components(verified(tested, texts, similarity))
     left = without_large(checkpointed(mixed(buckets.select("key", "id"), comp)), comp, texts, similarity)
-    signed = checkpointed(needed(known.select("id", "n", "signature"), left.select("id").distinct())) if not left.isEmpty() else None
+    signed = checkpointed(finely_signed(needed(texts, left.select("id").distinct()))) if not left.isEmpty() else None
     for i, quota in enumerate(ROUNDS if signed else ()):
         left = checkpointed(mixed(left.select("key", "id"), comp)) if i else left
         late = checkpointed(unresolved(left, signed, tested, similarity, quota))

@@ -145,3 +145,39 @@ def test_sparse_edits_are_joined(spark):
     rows = list(enumerate(rows))
     found = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == plain(rows)
+
+
+def test_texts_of_a_common_passage_meet_once(spark, monkeypatch):
+    rng, rows, sent = random.Random(11), [], []
+    line = [f"p{i}" for i in range(40)]
+    for _ in range(40):  # over half of each text is common, which makes it a candidate of all others, but not similar
+        own = [f"x{rng.randrange(10**6)}" for _ in range(30)]
+        rows.append(" ".join(line + own))
+    late = [f"y{i}" for i in range(30)]
+    rows += [" ".join(line + late), " ".join(line + edited(rng, late, 5))]
+    rows = list(enumerate(rows))
+    plainly = neardup.unresolved
+    monkeypatch.setattr(neardup, "MANY", 8, raising=False)
+    monkeypatch.setattr(neardup, "unresolved", lambda found, *rest: sent.append(found.count()) or plainly(found, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == plain(rows)
+    assert sent[0] < 6 * len(rows)  # 470 when each bucket stood alone
+    # With tiles of few texts one bucket for all would take more rows than the buckets do, so these stay; the classes are the same.
+    monkeypatch.setattr(neardup, "TILE", 2)
+    assert {r.doc_id: r.class_id for r in neardup.classes(df).collect()} == plain(rows)
+
+
+def test_fine_signatures_bound_the_distance():
+    rng = random.Random(12)
+    line = "the line that comes again and again".split()
+    texts = []
+    for _ in range(12):  # a word occurs over 255 times; the rest differs
+        own = [f"z{rng.randrange(10**6)}" for _ in range(120)]
+        texts.append(line * 300 + own)
+        texts.append(edited(rng, texts[-1], 30))
+    words = Words(pa.array([" ".join(t) for t in texts]))
+    wide, coarse = (f(words, words.hashes(), len(texts)) for f in (neardup.wide_counts, neardup.signatures))
+    coarse = coarse[:, neardup.BITS // 8 :]
+    for i in range(0, len(texts), 2):
+        assert neardup.least_distance(wide[i], wide[i + 1]) <= 30
+        assert neardup.least_distance(wide[i], wide[i - 2]) > neardup.least_distance(coarse[i], coarse[i - 2])
