@@ -43,6 +43,11 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.take(pc.sort_indices(table, sort_keys=[("_id", "ascending"), ("_text", "ascending")], null_placement="at_end"))
 
 
+def planes(column: np.ndarray) -> bytes:
+    """The values' lowest bytes, then their second bytes, and so on: of ascending numbers most planes are runs, which the shuffle's compression takes away."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.itemsize).T.tobytes()
+
+
 def packed(buckets: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The rows of equally long columns as one packet for each bucket that has any, rows in their order."""
     order = np.argsort(buckets, kind="stable")
@@ -50,14 +55,15 @@ def packed(buckets: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterato
     columns = tuple(c[order] for c in columns)
     for b in np.flatnonzero(np.diff(bounds)):
         part = slice(bounds[b], bounds[b + 1])
-        yield int(b), np.int64(part.stop - part.start).tobytes() + b"".join(np.ascontiguousarray(c[part]).tobytes() for c in columns)
+        yield int(b), np.int64(part.stop - part.start).tobytes() + b"".join(planes(c[part]) for c in columns)
 
 
 def unpacked(payload: bytes, *types) -> list[np.ndarray]:
     n, at, out = int(np.frombuffer(payload, np.int64, 1)[0]), 8, []
     for t in types:
-        out.append(np.frombuffer(payload, t, n, at))
-        at += n * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(payload, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+        at += n * size
     return out
 
 
@@ -146,7 +152,7 @@ def extended(docs: pa.Table, found: pa.Table, block: int, n_buckets: int) -> pa.
     is_first[order] = new
     chunk = docs["_chunk"][0].as_py()
     later = places[~is_first].astype(np.uint32)
-    known = [(chunk % n_buckets, np.int64(len(later)).tobytes() + later.tobytes())] if len(later) else []
+    known = [(chunk % n_buckets, np.int64(len(later)).tobytes() + planes(later))] if len(later) else []
     h, other, places = h[is_first], other[is_first], places[is_first]
     ids = docs["_id"].fill_null(np.iinfo(np.int64).max).to_numpy().astype(np.int64)
     bucket = (mix(h ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_buckets)).astype(np.int32)

@@ -72,3 +72,22 @@ def test_one_passage_everywhere(spark):
     expected = plain(rows, 20)
     for r in substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert (r.text, r.n_words, r.n_removed) == expected[r.doc_id], r.doc_id
+
+
+def test_packets_compress():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n = 20_000  # rows of windows: a hash, ascending ids and ascending places
+    h = rng.integers(0, 1 << 63, n, np.uint64)
+    ids = np.sort(rng.integers(-(1 << 20), 1 << 24, n)).astype(np.int64)
+    ids[-3:] = np.iinfo(np.int64).max
+    places = np.sort(rng.integers(0, 1 << 19, n)).astype(np.uint32)
+    buckets = rng.integers(0, 5, n)
+    found = list(substring.packed(buckets, 6, h, ids, places))
+    for b, payload in found:
+        for got, sent in zip(substring.unpacked(payload, np.uint64, np.int64, np.uint32), (h, ids, places), strict=True):
+            assert got.dtype == sent.dtype and (got == sent[buckets == b]).all()
+    assert [b for b, _ in found] == list(range(5))
+    assert sum(len(pa.Codec("lz4").compress(p)) for _, p in found) < 15 * n  # 20 bytes a row as rows of values
