@@ -2,7 +2,7 @@
 
 A text is cut into words by the vocabulary's pattern. Each distinct word of a document becomes an array of its bytes, held as a
 string of a mark and one code point for each part (``FIRST`` plus its id), because slices of strings are cheap; a fold merges the
-adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from a literal map of pairs that is cut
+adjacent pair of lowest rank, leftmost first, until no pair has a rank. Ranks come from a constant map of pairs that is cut
 into shards by hash, so that a look-up reads one short shard. Decoding concatenates the binary pieces of the ids.
 
 Nothing is shuffled and nothing is written: every stage is a narrow map over the documents. The ``hot`` most frequent words of
@@ -18,7 +18,6 @@ task, with its words and ids.
 from __future__ import annotations
 
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from emberline.llm.common import opened, others, shared, shuffle_partitions
 from emberline.llm.quality import let
 
-#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample (about); shards of the literal map.
+#: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample (about); shards of the constant map.
 HOT, LONGEST, SAMPLE, SHARDS = 500_000, 40, 40_000, 1 << 15
 #: Words or ids that Python handles at a time (a longer single document is taken whole).
 SLICE = 1 << 19
@@ -42,9 +41,12 @@ FOLDED = 128
 FIRST, MARK, NONE = 0xE000, "\u0100", "\U0010ffff"
 
 
-def constant(value, kind: str) -> Column:
-    """A value as one literal of a plan; the vocabulary bounds its size."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+def constant(spark: SparkSession, value: list[str]) -> Column:
+    """Strings as a scalar subquery over one local row; the vocabulary bounds its size. No job runs for it.
+
+    A literal would be spelled out in all descriptions of all plans that hold it, which the driver keeps.
+    """
+    return spark.createDataFrame(pa.table({"value": pa.array([value], pa.list_(pa.string()))})).scalar()
 
 
 def pairs_of(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -52,23 +54,23 @@ def pairs_of(ranks: dict[bytes, int]) -> dict[str, int]:
     return {MARK + chr(FIRST + ranks[k[:i]]) + MARK + chr(FIRST + ranks[k[i:]]): v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
 
 
-def sharded(pairs: dict[str, int]) -> tuple[Column, int]:
-    """A literal array of strings of entries (pair, merged part); a pair stands in the string that its hash names."""
+def sharded(spark: SparkSession, pairs: dict[str, int]) -> tuple[Column, int]:
+    """A constant array of strings of entries (pair, merged part); a pair stands in the string that its hash names."""
     n = 1 << max(4, min(SHARDS.bit_length() - 1, len(pairs).bit_length()))
     shards = [MARK + NONE] * n  # what is not found is read as the first two
     for k, v in pairs.items():  # Spark's xxhash64 has the seed 42 and is signed, which a power of two does not mind
         shards[xxhash.xxh64_intdigest(k.encode(), 42) % n] += k + MARK + chr(FIRST + v)
-    return constant(shards, "array<string>"), n
+    return constant(spark, shards), n
 
 
 class Ranks:
-    """The vocabulary: a literal of pairs of parts and their merged part, and the table of pieces for whole words and decoding."""
+    """The vocabulary: a constant of pairs of parts and their merged part, and the table of pieces for whole words and decoding."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a rank: {missing}")
         self.spark, self.table, self.pattern = spark, ranks, "(?U)" + pattern
-        self.map, self.n = sharded(pairs_of(ranks))
+        self.map, self.n = sharded(spark, pairs_of(ranks))
         self.bytes = "".join(map(chr, range(256))), "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
         #: Pieces that merging would not give: a word that is one of them has its id all the same.
         self.odd = {k: v for k, v in ranks.items() if merged_ids(k, ranks) != [v]}
@@ -76,9 +78,13 @@ class Ranks:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def ids(self, words: Column) -> Column:
-        """For each of an array of words, of ``FOLDED`` bytes at most, its ids."""
-        return let(self.map, lambda known: F.transform(words, lambda w: self._ids(w, known)))
+    def ids(self, words: Column, known: str) -> Column:
+        """For each of an array of words, of ``FOLDED`` bytes at most, its ids; ``known`` names the column of ``beside``."""
+        return let(F.col(known), lambda known: F.transform(words, lambda w: self._ids(w, known)))
+
+    def beside(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` and the map of pairs. If a single expression takes it in the next select, the optimiser puts it there and no row holds it."""
+        return df.select("*", self.map.alias(name))
 
     def _ids(self, word: Column, known: Column) -> Column:
         """The ids of one word: a fold of merges over its bytes."""
@@ -199,7 +205,7 @@ def frequent(docs: DataFrame, ranks: Ranks, hot: int) -> pa.Table:
     some = docs.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
     words = some.select(F.explode(F.array_distinct(ranks.words(F.col("text")))).alias("word")).groupBy("word").count().filter(F.octet_length("word") <= LONGEST)
     best = words.orderBy(F.desc("count"), "word").limit(hot).repartition(shuffle_partitions(docs.sparkSession))
-    return best.select("word", F.get(ranks.ids(F.array("word")), F.lit(0)).alias("ids")).toArrow()
+    return ranks.beside(best, "pairs").select("word", F.get(ranks.ids(F.array("word"), "pairs"), F.lit(0)).alias("ids")).toArrow()
 
 
 def ragged(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,4 +301,4 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
 
     rows = base.select("key", ranks.words(F.col("text")).alias("words")).mapInArrow(split, f"key {kind}, segments array<struct<before:array<int>,other:int>>, other array<string>")
     whole = lambda own: F.flatten(F.transform("segments", lambda s: F.when(s["other"].isNull(), s["before"]).otherwise(F.concat(s["before"], F.get(own, s["other"])))))
-    return rows.select(F.col("key").alias(id_col), let(ranks.ids(F.col("other")), whole).alias("ids"))
+    return ranks.beside(rows, "pairs").select(F.col("key").alias(id_col), let(ranks.ids(F.col("other"), "pairs"), whole).alias("ids"))

@@ -65,3 +65,13 @@ def test_shared_ids_and_empty(spark):
     rows = ranks.with_decoded(bpe.encoded(df, ranks, hot=1)).select("doc_id", F.col("decoded").cast("string").alias("t")).collect()
     assert sorted((r.doc_id or 0, r.t) for r in rows) == [(0, "third"), (1, "one text"), (1, "one text"), (1, "other text")]
     assert bpe.encoded(df.limit(0), ranks).count() == 0
+
+
+def test_the_vocabulary_is_not_spelled_out_in_plans(spark):
+    ranks = queries.byte_ranks(spark)
+    df = spark.createDataFrame([(1, "one rather unusual word: zyxwvutrq")], "doc_id long, text string")
+    ids = bpe.encoded(df, ranks, hot=0)
+    described = spark._jvm.PythonSQLUtils.explainString(ids._jdf.queryExecution(), "formatted")
+    assert len(described) < 50_000  # 750,000 with the pairs of the vocabulary as a literal
+    assert "subquery" in described
+    assert ranks.with_decoded(ids).first().decoded == b"one rather unusual word: zyxwvutrq"
