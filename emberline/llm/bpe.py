@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from emberline.llm.common import opened, others, shared, shuffle_partitions
+from emberline.llm.common import lean, opened, others, shared, shuffle_partitions
 from emberline.llm.quality import let
 
 #: Sizes of the cache of frequent words: words, bytes of a word, documents of the sample (about); shards of the constant map.
 HOT, LONGEST, SAMPLE, SHARDS = 500_000, 40, 40_000, 1 << 15
 #: Words or ids that Python handles at a time (a longer single document is taken whole).
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Words of more bytes than this are merged by a heap.
 FOLDED = 128
 #: The code point of the part with id 0 (from here on none is a surrogate), what stands before each part (no byte), and what is over all parts.
@@ -134,35 +134,34 @@ class Ranks:
             pieces = opened(sent)
             for batch in batches:
                 for part in slices_of(batch, at):
-                    ends, data = joined(part.column(at), *pieces)
+                    ends, data = joined(part.column(at), pieces)
                     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, name])
 
-        return df.mapInArrow(run, StructType([*df.schema, StructField(name, BinaryType())]))
+        return df.mapInArrow(lean(run), StructType([*df.schema, StructField(name, BinaryType())]))
 
 
-def pieces_of(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of the pieces by id."""
+def pieces_of(ranks: dict[bytes, int]) -> pa.Array:
+    """The pieces by id."""
     pieces = [b""] * (max(ranks.values()) + 1)
     for k, v in ranks.items():
         pieces[v] = k
-    return strung(pieces)
+    return pa.array(pieces, pa.large_binary())
 
 
-def numerals(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of the decimal ids under n, a blank before each."""
-    return strung([b" %d" % i for i in range(n)])
+def numerals(n: int) -> pa.Array:
+    """The decimal ids under n, a blank before each."""
+    return pa.array([b" %d" % i for i in range(n)], pa.large_binary())
 
 
-def strung(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum([0, *map(len, parts)], dtype=np.int64), np.frombuffer(b"".join(parts), np.uint8)
+def joined(ids: pa.ListArray, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that each row's ids name, one after another: the rows' offsets and all bytes.
 
-
-def joined(ids: pa.ListArray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts that each row's ids name, one after another: the rows' offsets and all bytes."""
+    Arrow copies the parts whole; places of single bytes would take many times the bytes themselves.
+    """
     at, numbers = flat(ids)
-    places, size = ragged(offsets, numbers.to_numpy())
-    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)[at], data[places]
+    _, ends, data = parts.take(numbers).buffers()
+    return np.frombuffer(ends, np.int64, len(numbers) + 1)[at] if len(numbers) else np.zeros_like(at), np.frombuffer(data or b"", np.uint8)
 
 
 def heap_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -233,13 +232,26 @@ def slices_of(batch: pa.RecordBatch, column: int, limit: int = SLICE) -> Iterato
         at = to
 
 
+def numbered(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """For each word its place in ``known``, whose words differ, or -1.
+
+    The table of hashes is made of the distinct words here; one of all known words would be larger than everything else in a worker.
+    """
+    codes = words.dictionary_encode()
+    found = pc.fill_null(pc.index_in(known, value_set=codes.dictionary), -1).to_numpy(zero_copy_only=False)
+    there = np.flatnonzero(found >= 0)
+    place = np.full(len(codes.dictionary), -1, np.int64)
+    place[found[there]] = there
+    return place[codes.indices.to_numpy(zero_copy_only=False)]
+
+
 def cut(batch: pa.RecordBatch, known: pa.Array, offsets: np.ndarray, values: np.ndarray, long_ids) -> tuple[pa.Array, pa.Array]:
     """Of rows (key, words): segments (ids of known words, number of the other word that follows or null), and the other words, distinct by row.
 
     ``offsets`` and ``values`` hold the ids of the known words; ``long_ids`` gives those of a word that is too long for the fold.
     """
     at, words = flat(batch.column(1))
-    number = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = numbered(words, known)
     unknown = np.flatnonzero(number < 0)
     missing = words.take(pa.array(unknown))
     long = np.flatnonzero(pc.binary_length(missing.cast(pa.binary())).to_numpy(zero_copy_only=False) > FOLDED)
@@ -299,6 +311,6 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
                 segments, other = cut(part, words, offsets, values, long_ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), segments, other], ["key", "segments", "other"])
 
-    rows = base.select("key", ranks.words(F.col("text")).alias("words")).mapInArrow(split, f"key {kind}, segments array<struct<before:array<int>,other:int>>, other array<string>")
+    rows = base.select("key", ranks.words(F.col("text")).alias("words")).mapInArrow(lean(split), f"key {kind}, segments array<struct<before:array<int>,other:int>>, other array<string>")
     whole = lambda own: F.flatten(F.transform("segments", lambda s: F.when(s["other"].isNull(), s["before"]).otherwise(F.concat(s["before"], F.get(own, s["other"])))))
     return ranks.beside(rows, "pairs").select(F.col("key").alias(id_col), let(ranks.ids(F.col("other"), "pairs"), whole).alias("ids"))

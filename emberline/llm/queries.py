@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.llm import bpe, langid, media, mixing, neardup, quality, substring, toxicity, urls, wordpiece
-from emberline.llm.common import opened, read, shared
+from emberline.llm.common import lean, opened, read, shared
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -93,13 +93,17 @@ def digests(rows: DataFrame, ranks: bpe.Ranks) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = opened(pieces)
+        def sha(ids: pa.ListArray, parts: pa.Array, skip: int) -> pa.Array:
+            ends, data = bpe.joined(ids, parts)
+            return pa.array([hashlib.sha256(data[a + skip : b]).hexdigest() for a, b in itertools.pairwise(ends.tolist())], pa.string())
+
         for batch in batches:
             for part in bpe.slices_of(batch, 1):
-                decoded, listed = (bpe.joined(part.column(1), *t) for t in tables)
-                sha = lambda ends, data, skip: [hashlib.sha256(data[a + skip : b]).hexdigest() for a, b in itertools.pairwise(ends.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(part.column(1).offsets.to_numpy()), pa.int64()), pa.array(sha(*listed, 1), pa.string()), pa.array(sha(*decoded, 0), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids = part.column(1)
+                decoded, listed = (sha(ids, t, skip) for t, skip in zip(tables, (0, 1), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), listed, decoded], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.select("doc_id", "ids").mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
