@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm.common import GOLDEN, Words, checkpointed, mix, opened, shared, single, slices, stored, whole_numbers
+from emberline.llm.common import GOLDEN, Words, checkpointed, lean, mix, opened, shared, single, slices, stored, whole_numbers
 from emberline.llm.components import components
 
 #: Words in a k-mer, hash functions, and k-mers that each picks.
@@ -178,7 +178,7 @@ def finely_signed(docs: DataFrame) -> DataFrame:
                     signed = [pa.array([x.tobytes() for x in f(words, words.hashes(), some.num_rows)], pa.binary()) for f in (signatures, wide_counts)]
                     yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(words.counts(), pa.int32()), *signed], ["id", "n", "signature", "wide"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, signature binary, wide binary")
+    return docs.select("id", "text").mapInArrow(lean(run), "id long, n int, signature binary, wide binary")
 
 
 def parted(signed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, sketches: int = SKETCH
                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64))), pa.array([c.tobytes() for c in signed], pa.binary()),
                 ], ["id", "h1", "h2", "n", "keys", "signature"])
 
-    return source.mapInArrow(run, "id long, h1 long, h2 long, n int, keys array<long>, signature binary")
+    return source.mapInArrow(lean(run), "id long, h1 long, h2 long, n int, keys array<long>, signature binary")
 
 
 def hashed(text) -> list:
@@ -331,7 +331,7 @@ def possible(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
                 good = (least_by_bits(a[0], b[0]) <= most) & (least_distance(a[1], b[1]) <= most)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good))
 
-    return attached(pairs, values, "value").mapInArrow(run, "u long, v long").distinct()
+    return attached(pairs, values, "value").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def most_edits(n, m, similarity: float) -> np.ndarray:
@@ -357,7 +357,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
             good = [alike(words(a.as_py()), words(b.as_py()), similarity) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return attached(pairs, texts, "text").mapInArrow(run, "u long, v long").distinct()
+    return attached(pairs, texts, "text").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def across(table: pa.Table, similarity: float, quota: int | None) -> pa.Table:
@@ -424,7 +424,7 @@ def rarest_words(docs: DataFrame, similarity: float) -> DataFrame:
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["slot", "n"])
 
-    counts = docs.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.mapInArrow(lean(counted), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(SLOTS, np.int64)
     frequency[counts["slot"].to_numpy()] = counts["n"].to_numpy()
     sent = shared(docs.sparkSession, frequency)
@@ -441,7 +441,7 @@ def rarest_words(docs: DataFrame, similarity: float) -> DataFrame:
                 chosen = order[first]
                 yield pa.RecordBatch.from_arrays([pa.array(labelled[chosen].view(np.int64)), part.column("id").take(pa.array(owner[chosen]))], ["key", "id"])
 
-    return docs.mapInArrow(run, "key long, id long")
+    return docs.mapInArrow(lean(run), "key long, id long")
 
 
 def gathered(found: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,14 +2,16 @@
 
 import itertools
 import random
+import re
 
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberline.llm import neardup
-from emberline.llm.common import Words
+from emberline.llm.common import Words, released
 
 
 def distance(a, b):
@@ -181,3 +183,20 @@ def test_fine_signatures_bound_the_distance():
     for i in range(0, len(texts), 2):
         assert neardup.least_distance(wide[i], wide[i + 1]) <= 30
         assert neardup.least_distance(wide[i], wide[i - 2]) > neardup.least_distance(coarse[i], coarse[i - 2])
+
+
+def test_workers_give_back_what_they_took(spark):
+    """The workers stay for later stages; after the sketches of 13 MB of text none holds free memory."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.hash(i, "doc_id").cast("string"))
+    docs = spark.range(600).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(words, " ").alias("text")).repartition(2)
+    assert neardup.sketched(docs, "doc_id", "text").count() == 600
+
+    def free(batches):
+        held = lambda: sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+        for _ in batches:
+            before = held()
+            released()
+            yield pa.RecordBatch.from_pydict({"mb": [before - held()]})
+
+    found = spark.range(64, numPartitions=64).mapInArrow(free, "mb double").collect()  # in turn, each idle worker gets a task
+    assert max(r.mb for r in found) < 15  # 3; without giving back 28
