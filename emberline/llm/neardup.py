@@ -523,10 +523,16 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
 
     Of rows that share an id, one for each different text stays (one of equal texts: that of the least hash over all columns).
     """
-    keep = classes(docs, similarity, id_col, text_col).filter(F.col(f"`{id_col}`") == F.col("class_id")).select(F.col("class_id").alias("_keep")).distinct()
+    keep = classes(docs, similarity, id_col, text_col).filter(F.col(f"`{id_col}`") == F.col("class_id")).select(F.col("class_id").cast("long").alias("id")).distinct()
     own = F.col(f"`{id_col}`")
     named = [F.col(f"`{c}`") for c in docs.columns]
-    known = docs.select(F.struct(*named).alias("row"), own.cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_text")).filter("_id is not null")
-    same = Window.partitionBy("_id", "_text").orderBy(F.xxhash64(F.to_json("row")))
-    first = known.join(keep, F.col("_id") == F.col("_keep"), "left_semi").withColumn("_place", F.row_number().over(same)).filter("_place = 1").select("row.*")
+    known = docs.select(F.struct(*named).alias("row"), own.cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text")).filter("id is not null")
+    first = needed(known, keep)
+    repeated = known.groupBy("id").count().filter("count > 1").select("id")
+    if not repeated.isEmpty():  # only rows that share an id are sorted, whole texts and all
+        repeated = checkpointed(repeated)
+        same = Window.partitionBy("id", "text").orderBy(F.xxhash64(F.to_json("row")))
+        shared_ids = first.join(repeated, "id", "left_semi").withColumn("place", F.row_number().over(same)).filter("place = 1").drop("place")
+        first = first.join(repeated, "id", "left_anti").unionByName(shared_ids)
+    first = first.select("row.*")
     return first.unionByName(docs.filter(own.isNull()))

@@ -106,6 +106,19 @@ def test_shared_ids(spark):
     assert sorted((r.doc_id or 0, r.class_id or 0) for r in neardup.classes(df).collect()) == [(0, 0), (1, 1), (2, 1), (5, 1), (5, 1), (9, 9)]
 
 
+def test_rows_of_distinct_ids_stay_where_they_are(spark):
+    """The first of each class is found by ids alone: no row is shuffled or sorted with its text, unless another one has its id."""
+    rows = [(i, " ".join(f"{'c' if i % 5 == 0 else i}x{j}" for j in range(30)), i) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, "no id", 99)], "doc_id long, text string, n int")
+    one = neardup.one_of_each(df)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+    firsts = [r for r in rows if r[0] % 5 or not r[0]]
+    assert sorted((tuple(r) for r in one.collect()), key=lambda r: r[2]) == [*firsts, (None, "no id", 99)]
+    several = neardup.one_of_each(df.unionByName(spark.createDataFrame([rows[1], (2, "of its own", 41), rows[5]], df.schema)))
+    assert sorted((tuple(r) for r in several.collect()), key=lambda r: r[2]) == [*firsts, (2, "of its own", 41), (None, "no id", 99)]
+
+
 def pairs_at(rng, n, share, spread, count=40):
     """Texts of n words and versions with ``share`` of the words changed, all at the same distance or at random places, some by insertion and deletion."""
     e = int(share * n + 1e-9)
