@@ -41,3 +41,35 @@ def test_interval_join(spark):
         found = sorted((r.id, r.id2) for r in interval_join(df, other, "t", "u", symbols, 7).select("id", "id2").collect())
         expected = sorted((r.id, r.id2) for r in df.crossJoin(other).filter(iv.any_of(symbols, F.col("t"), F.col("u"))).select("id", "id2").collect())
         assert found == expected
+
+
+def test_interval_join_equal_intervals(spark):
+    """Rows of frequent intervals are paired after their groups have met, by several tasks, whole and once."""
+    t, u = iv.create(F.lit(0), F.lit(5)), iv.create(F.lit(3), F.lit(8))
+    a, b = spark.range(300).select("id", t.alias("t")), spark.range(400).select(F.col("id").alias("id2"), u.alias("u"))
+    joined = interval_join(a, b, "t", "u", {"o"}, 10).select("id", "id2", F.spark_partition_id().alias("task"))
+    rows = joined.collect()
+    assert len(rows) == 120_000 and len({(r.id, r.id2) for r in rows}) == 120_000
+    assert len({r.task for r in rows}) >= 4
+    plan, made = [joined._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        inner = node.children() if node.nodeName() != "AdaptiveSparkPlan" else None
+        if "QueryStage" in node.nodeName() or inner is None:
+            plan.append(node.plan() if inner is not None else node.executedPlan())
+            continue
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        plan += [inner.apply(i) for i in range(inner.size())]
+    assert made and sum(made) < 1000
+
+
+def test_interval_join_columns(spark):
+    """Columns ``on``, further ones (nulls, a map, copies of rows) and none; nulls of intervals and keys pair with nothing."""
+    a = spark.sql("select k, t, m, x from values (1, named_struct('start', 1.5D, 'end', 12D), map('a', 1), null), (1, named_struct('start', 1.5D, 'end', 12D), map('a', 1), null), (2, named_struct('start', -7D, 'end', -3D), null, 'y'), (null, named_struct('start', 1D, 'end', 2D), null, 'z'), (1, null, null, 'n') as v(k, t, m, x)")
+    b = spark.sql("select y, u, k from values ('p', named_struct('start', 11D, 'end', 40D), 1), ('q', named_struct('start', -5D, 'end', 9D), 2), ('r', named_struct('start', 11D, 'end', 40D), 2), ('s', named_struct('start', 1.5D, 'end', 3D), null), (null, named_struct('start', 5D, 'end', 13D), 1) as v(y, u, k)")
+    found = interval_join(a, b, "t", "u", {"o"}, 4, ["k"])
+    assert found.columns == ["k", "t", "m", "x", "y", "u"]
+    plain = a.join(b, "k").filter(iv.any_of({"o"}, F.col("t"), F.col("u"))).select(found.columns)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect())) and found.count() == 5
+    assert interval_join(a.select("t"), b.select("u"), "t", "u", {"o"}, 4).count() == a.crossJoin(b).filter(iv.any_of({"o"}, F.col("t"), F.col("u"))).count()
